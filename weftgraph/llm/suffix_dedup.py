@@ -165,13 +165,13 @@ def repeated_offsets(group: np.ndarray, strings: list[bytes], before: np.ndarray
             if a <= b:
                 out[g], out[g + 1] = [(int(hi[0] - b), int(hi[0] - a))], [(int(hi[1] - b), int(hi[1] - a))]
             continue
-        upto = np.concatenate([cuts[1:], [hi.max() + 1]]) - 1
-        for k in range(0, len(cuts), step := max(1, (1 << 19) // m)):
+        upto, parts = np.concatenate([cuts[1:], [hi.max() + 1]]) - 1, []
+        for k in range(0, len(cuts), step := max(1, (1 << 18) // m)):
             j = cuts[k : k + step, None]
-            classes = np.empty((2, len(j), m), np.int64)
+            classes = np.empty((2, len(j), m), np.int32)
             classes[0][:, left[g:h] - g] = np.cumsum(left_common[g:h] < j, axis=1)
             classes[1][:, right[g:h] - g] = np.cumsum(right_common[g:h] < length - j, axis=1)
-            key = classes[0] * (m + 1) + classes[1]
+            key = classes[0].astype(np.int64) * (m + 1) + classes[1]
             key[(j < lo) | (j > hi)] = -1
             order = np.argsort(key, axis=1, kind="stable")
             key = np.take_along_axis(key, order, 1)
@@ -179,9 +179,16 @@ def repeated_offsets(group: np.ndarray, strings: list[bytes], before: np.ndarray
             equal = (key[:, 1:] == key[:, :-1]) & (key[:, 1:] >= 0)
             same[:, 1:] |= equal
             same[:, :-1] |= equal
-            for r, c in zip(*np.nonzero(same), strict=True):
-                s = order[r, c]
-                out[g + s].append((int(hi[s] - min(upto[k + r], hi[s])), int(hi[s] - cuts[k + r])))
+            r, c = np.nonzero(same)
+            s = order[r, c]
+            parts.append((s, hi[s] - np.minimum(upto[k + r], hi[s]), hi[s] - cuts[k + r]))
+        s, first, final = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((first, s))
+        s, first, final = s[by], first[by], final[by]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (first[1:] > final[:-1] + 1)
+        for x, y, z in zip(s[new].tolist(), first[new].tolist(), final[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]]) if len(s) else []].tolist(), strict=True):
+            out[g + x].append((y, z))
     return out
 
 
@@ -211,7 +218,8 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     per_text = wanted.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "segment", "first", "size", "before")).alias("parts"))
     text = F.coalesce("text", F.lit(""))
     bodies = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("text_id"), text.alias("text"))
-    joined = bodies.join(per_text, "text_id").groupBy("text_id").agg(F.first("text").alias("text"), F.first("parts").alias("parts")).select("text", "parts")
+    # Copies go where they are read already, so a large group of them doesn't meet in one task.
+    joined = bodies.groupBy("text_id").agg(F.first("text").alias("text")).join(per_text, "text_id").select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
