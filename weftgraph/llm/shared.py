@@ -75,19 +75,21 @@ def range_bucket(key: Column, cuts: list[int]) -> Column:
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) for edges (a, b): root is the least id of the component.
 
-    Least labels pass along the edges and then jump to the label's own label, so rounds grow with the
-    logarithm of a component's width. Each round is written to the shared folder.
+    In each round, every vertex takes the least id of itself and its neighbours as its name, and edges are drawn
+    between the new names; edges within one name go. The graph shrinks until no edge is left. Each round is written
+    to the shared folder.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), f"{name}-edges")
-    first = both.groupBy("a").agg(F.min("b").alias("b"))
-    labels = materialize(first.select(F.col("a").alias("id"), F.least("a", "b").alias("root")), f"{name}-labels")
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-edges")
+    roots = None
     while True:
-        told = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("told"))
-        near = labels.join(told, "id").select("id", F.col("root").alias("was"), F.least("root", "told").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = near.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
-        new = materialize(new, f"{name}-labels")
-        labels = new.select("id", "root")
-        if new.where("was <> root").limit(1).count() == 0:
-            return labels
+        ends = edges.select(F.col("b").alias("id"), F.col("a").alias("near")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("near")))
+        names = materialize(ends.groupBy("id").agg(F.min("near").alias("name")), f"{name}-names")
+        if roots is None:
+            roots = names.withColumnRenamed("name", "root")
+        else:
+            step = names.withColumnRenamed("id", "root")
+            roots = materialize(roots.join(step, "root", "left").select("id", F.coalesce("name", "root").alias("root")), f"{name}-roots")
+        drawn = edges.join(names.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
+        edges = materialize(drawn.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        if edges.isEmpty():
+            return roots
