@@ -104,3 +104,27 @@ def line_runs(docs, run=3):
                 gone |= {lines[i + k][0] for k in range(run)}
         out[d] = ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t, len(gone))
     return out
+
+
+def corpus(seed=5):
+    """(doc_id, text, source) with exact and near copies, shared passages, repeated lines, junk and odd texts."""
+    import random
+
+    r = random.Random(seed)
+    syllables = "the an in er on re th ou éa ment ción über ha ti st".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    text = lambda lines: "\n".join(sentence(r.randint(6, 14)) for _ in range(lines))
+    passage, docs = text(8), []
+    for i in range(40):
+        t = text(r.randint(3, 14))
+        if i % 5 == 1:
+            t += "\n" + passage + "\n" + text(2)
+        docs.append(t)
+    docs += [docs[3], docs[3], docs[7] + " " + docs[7], "", None, "one", "a b c", "x " * 300, ("| menu » entry | " * 40).strip(), "a" * 1500, "é" * 900 + " é", " \n \n", "ab  cd   ef \n\n  gh "]
+    for i in (2, 9, 16):
+        for k in range(4):
+            w = docs[i].split(" ")
+            w[len(w) // 2 + k] = "changed"
+            docs.append(" ".join(w))
+    return [(d, t, ("src%d" % (d % 3)) if d % 11 else None) for d, t in enumerate(docs)]

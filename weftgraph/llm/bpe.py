@@ -194,8 +194,8 @@ def _over_texts(path: str, pattern: str, row: Callable) -> Callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column(0)
-                made = [row(bpe, t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, zip(*made, strict=True))], names=["doc_id", *row.names])
+                made = zip(*(row(bpe, t or "") for t in part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(made, row.kinds, strict=True))], names=["doc_id", *row.names])
 
     return run
 
@@ -206,7 +206,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def row(bpe: TreeBPE, text: str):
         return (bpe.encode(text),)
 
-    row.names = ["ids"]
+    row.names, row.kinds = ["ids"], [pa.list_(pa.int32())]
     return docs.select("doc_id", "text").mapInArrow(_over_texts(path, pattern, row), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
@@ -231,6 +231,6 @@ def code_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         said = bpe.encode_said(text)
         return said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(bpe.decode_said(said)).hexdigest()
 
-    row.names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    row.names, row.kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(_over_texts(path, pattern, row), schema)
