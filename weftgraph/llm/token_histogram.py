@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import coder
-from weftgraph.llm.shared import slices
+from weftgraph.llm.shared import materialize, slices
 
 
 def token_lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -34,7 +34,8 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     over the blocks, so no task holds all lengths.
     """
     counts = lengths.select(F.coalesce("n_tokens", F.lit(0)).cast("long").alias("context_limit")).groupBy("context_limit").agg(F.count("*").alias("n_docs"))
-    counts = counts.withColumn("block", F.expr(f"context_limit div {block}"))
+    # Read twice below; written, the texts are encoded once.
+    counts = materialize(counts, "token-lengths").withColumn("block", F.expr(f"context_limit div {block}"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("context_limit")).alias("t"))
     order = Window.orderBy("block")
     before, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
