@@ -8,11 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftgraph.api import Engine
 from weftgraph.config import CompactionConfig, InferenceConfig
 from weftgraph.functions import codec, routing, similarity
 from weftgraph.functions.bloom import BloomSketch, bloom_size
 from weftgraph.operators import compaction, inference, kv, monitoring, relationships, traverse
-from weftgraph.schemas import EVENT, KV_LOG, RELATIONSHIP
+from weftgraph.schemas import EVENT, KV_LOG, NODE, RELATIONSHIP
 from weftgraph.streaming import ingest
 
 NOW = 1_234_600_000
@@ -244,6 +245,18 @@ def test_streams_match_batches(spark, tmp_path):
     assert spark.sql("select sum(n) from counts").first()[0] == 60
 
 
+def test_engine_object(spark):
+    none = spark.createDataFrame([], NODE), spark.createDataFrame([], RELATIONSHIP)
+    first = events(spark, ("e1", "alice", "user", 1, "-", 2), ("e2", "alice", "admin", 2, "a:1 depends on b:1"), ("e3", None, "user", 3, "-", 1), ("e4", "x0", "page", 4, "-"))
+    engine = Engine(*none).ingest(first, InferenceConfig())
+    assert {(r.node_id, r.node_type) for r in engine.nodes.collect()} == {("alice", "admin"), ("x0", "page")}
+    assert engine.related("alice").where("rel_type = 'DEPENDS_ON'").count() >= 3
+    assert engine.query("alice", types=["DEPENDS_ON"], max_results=2).count() == 2
+    nodes, edges = engine.graph_around("alice", depth=1)
+    assert {r.node_id for r in nodes.collect()} == {"alice", "x0"} and edges.count() >= 2
+    assert engine.batch_query(engine.nodes, 1).count() == 2 and engine.stats(0).first().entities >= 1
+
+
 def test_entry_points():
     import __spark_entry__
 

@@ -21,6 +21,11 @@ def of_entity(rels: DataFrame, entity: str) -> DataFrame:
     return rels.where(F.col("entity_id") == entity).orderBy(*newest_first())
 
 
+def related_pairs(rels: DataFrame, entity: str) -> DataFrame:
+    """(related_id, rel_type) of an entity."""
+    return rels.where(F.col("entity_id") == entity).select("related_id", "rel_type")
+
+
 def active(rels: DataFrame, as_of: int) -> DataFrame:
     return rels.where(is_active(as_of))
 

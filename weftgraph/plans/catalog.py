@@ -52,6 +52,13 @@ def infer_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "entity_id", "related_id", "rel_type", F.round("confidence", 6).alias("confidence"), "created_at", "expires_at")
 
 
+@query(f"""WITH {_EVENTS}, te AS (SELECT {_TYPE} AS rel_type, {_SIM} AS confidence FROM ev e JOIN ev o ON o.ts_ms BETWEEN e.ts_ms - 642014 AND e.ts_ms + 642014 AND e.entity_id <> o.entity_id AND e.event_id <> o.event_id)
+SELECT rel_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM te WHERE confidence >= 0.7 GROUP BY 1""")
+def infer_temporal_both(spark, sf_dir):
+    out = inference.temporal(src.events(spark, sf_dir), InferenceConfig(direction="both"))
+    return out.groupBy("rel_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
 @query(f"WITH {_EVENTS}, {_frequency('type_id')} SELECT event_id, entity_id, related_id, frequency, round(confidence, 6) AS confidence, created_at FROM fr")
 def infer_frequency(spark, sf_dir):
     out = inference.frequency(src.events(spark, sf_dir, "type"))
@@ -144,6 +151,11 @@ def rels_of_entity(spark, sf_dir):
     return relationships.of_entity(_rels(spark, sf_dir), ROOT).select(*_FLAT)
 
 
+@query(f"WITH {_RELS} SELECT related_id, rel_type FROM rels WHERE entity_id = 'user:1'")
+def related_pairs(spark, sf_dir):
+    return relationships.related_pairs(_rels(spark, sf_dir), "user:1")
+
+
 @query(f"WITH {_RELS} SELECT {_COLS} FROM rels WHERE rel_type = 'CONTAINS'")
 def rels_by_type(spark, sf_dir):
     return relationships.by_type(_rels(spark, sf_dir), "CONTAINS").select(*_FLAT)
@@ -296,6 +308,16 @@ def subgraph_nodes(spark, sf_dir):
     return traverse.subgraph(_rels(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=1_000_000)[0].select("node_id", "depth")
 
 
+@query(f"WITH {_RELS} SELECT {_COLS} FROM rels WHERE (entity_id = 'customer:1' OR related_id = 'customer:1') AND inference_type = 'EXPLICIT' AND created_at BETWEEN 800000000000 AND 950000000000")
+def query_relationship_times(spark, sf_dir):
+    return traverse.query_relationship(_rels(spark, sf_dir), "customer:1", None, False, 100_000, 800_000_000_000, 950_000_000_000).select(*_FLAT)
+
+
+@query()
+def subgraph_indices(spark, sf_dir):
+    return traverse.subgraph(_rels(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=8)[0]
+
+
 @query()
 def subgraph_edges(spark, sf_dir):
     return traverse.subgraph(_rels(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=1_000_000)[1]
@@ -337,6 +359,11 @@ def kv_versions(spark, sf_dir):
     return kv.versions(src.kv_log(spark, sf_dir)).withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))))
 
 
+@query()
+def kv_checksums(spark, sf_dir):
+    return kv.checksums(src.kv_log(spark, sf_dir))
+
+
 @query("SELECT 'user:' || user_id AS node_id, arg_max(event_type, event_id) AS node_type, max(event_id) AS seq FROM events GROUP BY user_id")
 def node_upsert(spark, sf_dir):
     nodes = src.table(spark, sf_dir, "events").select(src.id_of("user", "user_id").alias("node_id"), F.col("event_type").alias("node_type"), F.col("event_id").alias("seq"))
@@ -381,3 +408,18 @@ def stream_infer(spark, sf_dir):
     stream, out = _as_stream(spark, sf_dir, "stream-infer")
     ingest.near_events(stream).writeStream.format("parquet").option("path", out + "/rels").option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out + "/rels")
+
+
+@query(f"""WITH {_EVENTS} SELECT CASE WHEN n % 5 = 0 THEN 'no entity id' WHEN n % 7 = 0 THEN 'no time' END AS error, count(*) AS n FROM ev GROUP BY 1""")
+def ingest_validate(spark, sf_dir):
+    number = F.substring_index("event_id", ":", -1).cast("long")
+    spoiled = src.events(spark, sf_dir).withColumn("entity_id", F.when(number % 5 != 0, F.col("entity_id"))).withColumn("ts_ms", F.when(number % 7 != 0, F.col("ts_ms")))
+    return ingest.validated(spoiled).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EVENTS} SELECT ts_ms // 3600000 * 3600000 AS start_ms, event_type, count(*) AS n FROM ev GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    stream, out = _as_stream(spark, sf_dir, "stream-windows")
+    # Each run's last table of complete counts replaces the one before.
+    ingest.windowed_counts(stream).writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out + "/counts")).outputMode("complete").option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out + "/counts")
