@@ -136,6 +136,11 @@ def _rels(spark, sf_dir):
     return src.relationships(spark, sf_dir)
 
 
+def _stored(spark, sf_dir):
+    """The relationships as a table: walks read them once a hop."""
+    return written(_rels(spark, sf_dir), "rels")
+
+
 @query(f"WITH {_RELS} SELECT {_COLS} FROM rels")
 def rels_all(spark, sf_dir):
     return _rels(spark, sf_dir).select(*_FLAT)
@@ -268,12 +273,12 @@ _ACTIVE = f"expires_at = 0 OR expires_at > {AS_OF}"
 
 @query(_walk(2, _ACTIVE))
 def connected_d2(spark, sf_dir):
-    return traverse.connected(_rels(spark, sf_dir), ROOT, AS_OF, 2)
+    return traverse.connected(_stored(spark, sf_dir), ROOT, AS_OF, 2)
 
 
 @query(_walk(3, _ACTIVE))
 def connected_d3(spark, sf_dir):
-    return traverse.connected(_rels(spark, sf_dir), ROOT, AS_OF, 3)
+    return traverse.connected(_stored(spark, sf_dir), ROOT, AS_OF, 3)
 
 
 @query(_walk(4, "rel_type = 'PRECEDES'"))
