@@ -91,17 +91,17 @@ def edited(docs):
     return out
 
 
-def line_runs(docs, run=3):
-    """doc_id to (kept text, deleted lines): lines in runs that are equal to an earlier run that they don't overlap."""
+def line_runs(docs, run=3, long=50):
+    """doc_id to (kept text, deleted lines): lines in runs (or long lines) that are equal to an earlier run that they don't overlap."""
     first, out = {}, {}
     for d, t in sorted(docs):
         lines = [(i, x.strip()) for i, x in enumerate((t or "").split("\n")) if x.strip()]
         gone = set()
-        for i in range(len(lines) - run + 1):
-            key = tuple(x for _, x in lines[i : i + run])
+        for i, n in [(i, run) for i in range(len(lines) - run + 1)] + [(i, 1) for i, (_, x) in enumerate(lines) if len(WORD.findall(x)) >= long]:
+            key = tuple(x for _, x in lines[i : i + n])
             at = first.setdefault(key, (d, i))
-            if at[0] != d or i >= at[1] + run:
-                gone |= {lines[i + k][0] for k in range(run)}
+            if at[0] != d or i >= at[1] + n:
+                gone |= {lines[i + k][0] for k in range(n)}
         out[d] = ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t, len(gone))
     return out
 
@@ -122,6 +122,8 @@ def corpus(seed=5):
             t += "\n" + passage + "\n" + text(2)
         docs.append(t)
     docs += [docs[3], docs[3], docs[7] + " " + docs[7], "", None, "one", "a b c", "x " * 300, ("| menu » entry | " * 40).strip(), "a" * 1500, "é" * 900 + " é", " \n \n", "ab  cd   ef \n\n  gh "]
+    long_line = sentence(60)
+    docs += [text(3) + "\n" + long_line + "\n" + text(2), long_line, text(2) + "\n  " + long_line + "\n" + text(1) + "\n" + long_line]
     for i in (2, 9, 16):
         for k in range(4):
             w = docs[i].split(" ")
