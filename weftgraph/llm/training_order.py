@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import materialize, partitions
+from weftgraph.llm.shared import materialize, partitions, slices
 from weftgraph.llm.textvec import mix
 
 #: Token ids of UTF-8 bytes are the bytes; then the end of a document, and what fills up its last sequence.
@@ -57,14 +57,15 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            counts = np.array([len(t) // length + 1 for t in texts], np.int64)
-            row = np.repeat(np.arange(len(texts)), counts)
-            seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            slots = permuted(np.asarray(batch.column(2))[row] + seq, n, key)
-            pieces = [texts[r][s * length : (s + 1) * length] for r, s in zip(row.tolist(), seq.tolist(), strict=True)]
-            part = (slots // shard_rows) * parts // shards
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(slots), batch.column(0).take(pa.array(row)), pa.array(seq), pa.array(seq == counts[row] - 1), pa.array(pieces, pa.binary())], names=["part", "slot", "doc_id", "seq_no", "last", "piece"])
+            for some in slices(batch, "text"):
+                texts = [t.encode() for t in some.column(1).to_pylist()]
+                counts = np.array([len(t) // length + 1 for t in texts], np.int64)
+                row = np.repeat(np.arange(len(texts)), counts)
+                seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                slots = permuted(np.asarray(some.column(2))[row] + seq, n, key)
+                pieces = [texts[r][s * length : (s + 1) * length] for r, s in zip(row.tolist(), seq.tolist(), strict=True)]
+                part = (slots // shard_rows) * parts // shards
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(slots), some.column(0).take(pa.array(row)), pa.array(seq), pa.array(seq == counts[row] - 1), pa.array(pieces, pa.binary())], names=["part", "slot", "doc_id", "seq_no", "last", "piece"])
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
