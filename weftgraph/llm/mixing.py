@@ -43,9 +43,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 def shuffled_offsets(sized: DataFrame, seed: int = 7) -> DataFrame:
     """The rows with `start`: the words of the same source (column s) before the row in shuffled order.
 
-    The order is by a hash of doc_id, cut into BUCKETS ranges that are summed first, so that no task needs a whole source.
+    The order is by 60 bits of an MD5 hash of doc_id, cut into BUCKETS ranges that are summed first, so that no task needs a whole source.
     """
-    rows = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+    rows = sized.withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
     sums = rows.groupBy("s", "b").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("s", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
