@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -297,6 +298,18 @@ def test_odd_values(spark):
     assert lines == [(3, 6)]
 
 
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op7_quality", "op8_mixing"])
+def test_sql_says_the_same(spark, rows, tmp_path, name):
+    odd = [(None if d is None else d + 1000, t, s) for d, t, s in ODD] + [(2000, "A word.\x1c\u3000\n»\n \u00a0\nYes”\u2003\nCLICK HERE\n" + "a | b » c\n" * 3, "c")]
+    spark.createDataFrame([(d, t, s, "en", 1) for d, t, s in [*rows, *odd]], SCHEMA).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    columns = ", ".join(got.columns)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(f"SELECT {columns} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_pipeline_stages(spark, docs, rows):
     out = docs.select(*corpus_pipeline.COLUMNS)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
