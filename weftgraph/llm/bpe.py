@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from weftgraph.llm.shared import slices
 
 #: Entries after which a table of known encodings starts anew; bounds a worker's memory, never the result.
-KEPT = 100_000
+KEPT = 200_000
 _NONE = 1 << 60
 _ENDS = frozenset(".,;:!?")
 
