@@ -231,19 +231,58 @@ def test_permutation(n):
 
 def test_training_order(docs, rows, spark, tmp_path):
     ordered = training_order.training_order(docs, length=64, shard_rows=16)
-    training_order.write_shards(ordered, str(tmp_path / "shards"))
-    out = training_order.read_from(spark, str(tmp_path / "shards"), 0).collect()
+    out = sorted(ordered.collect(), key=lambda r: r.slot)
     assert [r.slot for r in out] == list(range(len(out)))
-    assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 128 and len(r.record) == 128 for r in out)
+    assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 129 and len(r.record) == 128 for r in out)
     by = defaultdict(dict)
     for r in out:
         by[r.doc_id][r.seq_no] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens]
     for d, t, _ in rows:
         assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*(t or "").encode(), 256]
-    assert [r.slot for r in training_order.read_from(spark, str(tmp_path / "shards"), 10).collect()] == list(range(10, len(out)))
     assert [r.doc_id for r in out] != sorted(r.doc_id for r in out)
 
 
+def test_shards(spark, tmp_path):
+    """Bytes of every value, line ends among them, come back from the files, by Spark or by plain seeks; from any slot on."""
+    df = spark.createDataFrame([(d, "".join(map(chr, range(d, 90 + 31 * d)))) for d in range(40)], "doc_id long, text string")
+    ordered, path = training_order.training_order(df, length=64, shard_rows=16), tmp_path / "shards"
+    training_order.write_shards(ordered, str(path))
+    want = {r.slot: (r.shard, r.byte_offset, bytes(r.record)) for r in ordered.collect()}
+    files = {int(d.name.split("=")[1]): [f for f in d.iterdir() if f.name.startswith("part")] for d in path.glob("shard=*")}
+    assert sorted(files) == list(range(-(-len(want) // 16))) and all(len(f) == 1 for f in files.values())
+    for shard, at, record in want.values():
+        assert files[shard][0].read_bytes()[at : at + 128] == record
+    for slot in (0, 1, 16, 37, len(want) - 1, len(want), len(want) + 99):
+        got = [(r.slot, bytes(r.record)) for r in training_order.read_from(spark, str(path), slot, 64, 16).collect()]
+        assert got == [(k, want[k][2]) for k in range(slot, len(want))]
+    training_order.write_shards(training_order.training_order(df.limit(0)), str(tmp_path / "none"))
+    assert training_order.read_from(spark, str(tmp_path / "none"), 0).count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_training_order_of_token_ids(docs, rows, library, width):
+    encoded = bpe.encode_documents(docs, PATH, PATTERN).withColumn("text", F.lit("x"))
+    out = training_order.training_order(encoded, length=32, shard_rows=16, ids="ids", width=width, end=50256, pad=50257).collect()
+    assert sorted(r.slot for r in out) == list(range(len(out)))
+    by = defaultdict(dict)
+    for r in out:
+        ids = np.frombuffer(bytes(r.record), f"<u{width}")
+        assert len(ids) == 32 and (ids[r.n_tokens :] == 50257).all()
+        by[r.doc_id][r.seq_no] = ids[: r.n_tokens]
+    for d, t, _ in rows:
+        assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
+
+
+def test_token_ids_that_do_not_fit(spark):
+    df = spark.createDataFrame([(1, [70000]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert training_order.training_order(df.where("doc_id > 1"), ids="ids").count() == 2
+    assert training_order.training_order(df, ids="ids", width=4).count() == 3
+    with pytest.raises(Exception, match="fit"):
+        training_order.training_order(df, ids="ids").count()
+    with pytest.raises(ValueError, match="fit"):
+        training_order.training_order(df, ids="ids", end=70000)
+
+
 def test_bpe(docs, rows, library):
     out = {r.doc_id: r for r in bpe.code_digests(docs, PATH, PATTERN).collect()}
     ids = {r.doc_id: r.ids for r in bpe.encode_documents(docs, PATH, PATTERN).collect()}

@@ -33,19 +33,24 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192) -> DataFrame:
+def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, ids: str | None = None, width: int = 2, end: int = END, pad: int = PAD) -> DataFrame:
     """One row for each sequence of `length` tokens: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record.
 
-    Each row of docs is its text's UTF-8 bytes and END (null: END alone), cut into sequences, the last filled with PAD.
-    Sequences are numbered in the order of a hash of doc_id; the keyed permutation of the numbers gives the slots 0 to
-    N-1, each once. record: the ids as 16-bit little-endian values, 2 * length bytes; n_tokens: without PAD. It stands
-    at byte_offset of its shard of shard_rows records. Rows come in partitions of consecutive whole shards, sorted by
-    slot. Rows of equal id and text are interchangeable; an empty table gives no row; other columns are not read.
+    Each row of docs is its text's UTF-8 bytes, or the token ids in its array column `ids` (those of encode_documents(),
+    say), and `end` (null: `end` alone), cut into sequences, the last filled with `pad`. Sequences are numbered in the
+    order of a hash of doc_id; the keyed permutation of the numbers gives the slots 0 to N-1, each once. record: the ids
+    as little-endian values of `width` bytes; an id that doesn't fit fails the job. n_tokens: without `pad`. A record
+    stands at byte_offset of its shard of shard_rows records, each followed by one byte. Rows come in partitions of
+    consecutive whole shards, sorted by slot. Rows of equal id and text are interchangeable; an empty table gives no
+    row; other columns are not read.
     """
-    spark = docs.sparkSession
-    data = F.coalesce("text", F.lit(""))
+    spark, unit, kind = docs.sparkSession, 1 if ids is None else width, np.dtype(f"<u{width}")
+    if max(end, pad) >> 8 * width:
+        raise ValueError(f"end {end} and pad {pad} don't fit in {width} bytes")
+    data = F.coalesce("text", F.lit("")) if ids is None else F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>"))
+    size = F.octet_length("text") if ids is None else F.size("text")
     rows = docs.select("doc_id", data.alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    rows = rows.withColumn("n_seq", F.expr(f"(octet_length(text) + {length}) div {length}"))
+    rows = rows.withColumn("n_seq", F.floor((size + length) / length).cast("long"))
     sums = materialize(rows.groupBy("b").agg(F.sum("n_seq").alias("n")), "training-order")
     n = sums.agg(F.sum("n")).first()[0] or 0
     base = sums.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -55,15 +60,21 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
     id_type, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(spark)
     shards = max(1, -(-n // shard_rows))
 
+    def packed(values: list[int | None]) -> bytes:
+        wide = np.array(values, np.int64)
+        if len(wide) and (wide.min() < 0 or int(wide.max()) >> 8 * width):
+            raise ValueError(f"token ids from {wide.min()} to {wide.max()} don't fit in {width} bytes")
+        return wide.astype(kind).tobytes()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "text"):
-                texts = [t.encode() for t in some.column(1).to_pylist()]
-                counts = np.array([len(t) // length + 1 for t in texts], np.int64)
+            for some in slices(batch, "text") if ids is None else (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                texts = [t.encode() if ids is None else packed(t) for t in some.column(1).to_pylist()]
+                counts = np.array([len(t) // (unit * length) + 1 for t in texts], np.int64)
                 row = np.repeat(np.arange(len(texts)), counts)
                 seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 slots = permuted(np.asarray(some.column(2))[row] + seq, n, key)
-                pieces = [texts[r][s * length : (s + 1) * length] for r, s in zip(row.tolist(), seq.tolist(), strict=True)]
+                pieces = [texts[r][s * unit * length : (s + 1) * unit * length] for r, s in zip(row.tolist(), seq.tolist(), strict=True)]
                 part = (slots // shard_rows) * parts // shards
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(slots), some.column(0).take(pa.array(row)), pa.array(seq), pa.array(seq == counts[row] - 1), pa.array(pieces, pa.binary())], names=["part", "slot", "doc_id", "seq_no", "last", "piece"])
 
@@ -72,14 +83,15 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
                 slots = np.asarray(rows.column(1))
-                ids, sizes = np.full((len(slots), length), PAD, "<u2"), np.zeros(len(slots), np.int64)
+                filled, sizes = np.full((len(slots), length), pad, kind), np.zeros(len(slots), np.int64)
                 for i, (piece, last) in enumerate(zip(rows.column(5).to_pylist(), rows.column(4).to_pylist(), strict=True)):
-                    ids[i, : len(piece)] = np.frombuffer(piece, np.uint8)
-                    sizes[i] = len(piece) + last
+                    own = np.frombuffer(piece, np.uint8 if ids is None else kind)
+                    filled[i, : len(own)] = own
+                    sizes[i] = len(own) + last
                     if last:
-                        ids[i, len(piece)] = END
-                records = pa.array([x.tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(slots // shard_rows), pa.array(slots % shard_rows * (2 * length)), rows.column(2), rows.column(3), pa.array(sizes), records], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record"])
+                        filled[i, len(own)] = end
+                records = pa.array([x.tobytes() for x in filled], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(slots // shard_rows), pa.array(slots % shard_rows * (width * length + 1)), rows.column(2), rows.column(3), pa.array(sizes), records], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record"])
 
     pieces = rows.mapInArrow(cut, f"part int, slot long, doc_id {id_type}, seq_no long, last boolean, piece binary")
     ordered = pieces.repartitionById(parts, F.col("part")).sortWithinPartitions("slot")
@@ -87,10 +99,37 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """Writes training_order()'s rows, each file a range of slots in order; a lost task writes its own range again."""
-    ordered.write.option("parquet.enable.dictionary", "false").parquet(path)
+    """Writes the records of training_order()'s rows as binary files, one for each shard, in path/shard=K.
+
+    A file holds the shard's records in the order of their slots, each followed by a byte 0x0A, and nothing else: slot
+    s begins at its byte_offset. Spark's text writer writes the bytes as they are, to any store, and commits whole tasks
+    only, so a lost task writes its own shards again.
+    """
+    rows = ordered.select("shard", "slot", F.col("record").cast("string").alias("value")).sortWithinPartitions("shard", "slot").select("shard", "value")
+    rows.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).partitionBy("shard").text(path)
+
 
+def read_from(spark: SparkSession, path: str, slot: int, length: int = 1024, shard_rows: int = 8192, width: int = 2) -> DataFrame:
+    """(slot, record) from a slot on, in order, from the files of write_shards(): earlier shards are not opened.
 
-def read_from(spark: SparkSession, path: str, slot: int) -> DataFrame:
-    """The records from a slot on, in order: files and row groups of earlier slots are skipped by their statistics."""
-    return spark.read.parquet(path).where(F.col("slot") >= slot).orderBy("slot")
+    A task holds a few shards of shard_rows * (width * length + 1) bytes. Shards of an empty table give no row.
+    """
+    stride = width * length + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer()
+                if data.size % stride:
+                    raise ValueError(f"shard {shard} isn't made of records of {stride} bytes")
+                begin = max(0, slot - shard * shard_rows)
+                for at in range(begin, data.size // stride, 1024):
+                    places = range(at, min(at + 1024, data.size // stride))
+                    records = [data[k * stride : (k + 1) * stride - 1].to_pybytes() for k in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard * shard_rows + k for k in places], pa.int64()), pa.array(records, pa.binary())], names=["slot", "record"])
+
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], "slot long, record binary")
+    files = files.where(F.col("shard") >= slot // shard_rows)
+    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(cut, "slot long, record binary").orderBy("slot")
