@@ -104,13 +104,14 @@ def decay_profile(spark, sf_dir):
     return src.table(spark, sf_dir, "events").where("user_id > 0").select("event_id", F.round(similarity.temporal_similarity(F.lit(0), F.col("user_id") * 1000), 6).alias("decay"))
 
 
-@query("""WITH g AS (SELECT p_partkey, p_name, p_brand, p_size, list_distinct([substr(p_name, i::INT, 3) FOR i IN range(1, length(p_name) - 1)]) AS t FROM part)
+@query("""WITH g AS (SELECT p_partkey, p_name, list_distinct([substr(p_name, i::INT, 3) FOR i IN range(1, length(p_name) - 1)]) AS t FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS jaccard
-FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+FROM g a JOIN g b ON b.p_partkey = a.p_partkey + 1""")
 def trigram_jaccard(spark, sf_dir):
-    part = src.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    a, b = (part.select(F.col("p_partkey").alias(x), F.col("p_name").alias(f"{x}_name"), "p_brand", "p_size") for x in "ab")
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(similarity.trigram_jaccard(F.col("a_name"), F.col("b_name")), 6).alias("jaccard"))
+    """Each part's name against that of the part with the next key: an equi-join, so pairs grow with the table."""
+    part = src.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    a, b = (part.select(F.col("p_partkey").alias(x), F.col("p_name").alias(f"{x}_name")) for x in "ab")
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(similarity.trigram_jaccard(F.col("a_name"), F.col("b_name")), 6).alias("jaccard"))
 
 
 @query(f"""WITH {_EVENTS} SELECT {_TYPE} AS rel_type, count(*) AS n FROM ev e JOIN ev o ON o.ts_ms BETWEEN e.ts_ms - 600000 AND e.ts_ms + 600000 AND e.entity_id <> o.entity_id AND e.event_id <> o.event_id GROUP BY 1""")
