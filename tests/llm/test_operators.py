@@ -224,6 +224,18 @@ def test_mixing_reshares_what_small_sources_cannot_give(spark):
     assert out == pytest.approx({0: want["a"], 1: want["b"], 2: want["c"], 3: 0.0}) and out[0] == 30.0
 
 
+def test_mixing_of_sources_far_below_the_total(spark):
+    """30 million words of one source beside sources of less than a 2^20th of them."""
+    small = {f"s{k:02}": n for k, n in enumerate([1, 2, 5, 10, 20, 28, 29, 30, 50, 100, 300])}
+    big = spark.range(30).select("id", F.expr("repeat('w ', 1000000)").alias("text"), F.lit("big").alias("source"))
+    few = spark.createDataFrame([(100 + i, "w " * n, s) for i, (s, n) in enumerate(small.items())], "id long, text string, source string")
+    out = {r.source: (r.target, r.taken, r.words) for r in mixing.mix_sources(big.unionByName(few).withColumnRenamed("id", "doc_id"), keep=("source",)).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("size").alias("words")).collect()}
+    assert {s: w for s, (_, _, w) in out.items()} == small | {"big": 30_000_000}
+    for s, (target, taken, _) in out.items():
+        assert target == pytest.approx(_targets(small | {"big": 30_000_000})[s]) and abs(taken - target) <= 5
+    assert out["s08"][0] == 150.0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_permutation(n):
     assert sorted(training_order.permuted(np.arange(n), n, 9).tolist()) == list(range(n))

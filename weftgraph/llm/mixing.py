@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 Slot i of the schedule lies at frac(i * golden ratio) on the line of cumulative target shares, which names its source.
-The k-th slot of a source takes the k-th block of its documents in shuffled order, starting over when all are taken.
-Blocks hold equally many words, so each source's share of words follows its share of slots, at any point of the schedule.
+The k-th slot of a source takes the k-th word of its documents in shuffled order, starting over when all are taken.
+A slot is one word in a corpus of any size, so each source's words follow its share, at any point of the schedule.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.shared import materialize
 
 GOLDEN = 0.6180339887498949
-#: Slots of a schedule at most, ranges of the shuffled order, slots ranked together, cells of the line of shares.
-SLOTS, BUCKETS, CHUNK, CELLS = 1 << 20, 4096, 4096, 1024
+#: Slots whose points are found together, ranges of the shuffled order, cells of the line of shares.
+SLOTS, BUCKETS, CELLS = 1 << 20, 4096, 1024
 
 
 def word_count(text: str | Column) -> Column:
@@ -55,9 +55,13 @@ def shuffled_offsets(sized: DataFrame, seed: int = 7) -> DataFrame:
     return rows.join(sums, ["s", "b"]).withColumn("start", F.col("base") + F.col("within")).drop("h", "b", "base", "within")
 
 
-def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
-    """(slot, s, rank): the source of each slot and its place among that source's slots."""
-    spark, n = targets.sparkSession, -(-total // block)
+def schedule(targets: DataFrame, total: int) -> DataFrame:
+    """(slot, s): the source of each of `total` slots.
+
+    A slot's point is the sum of those of its range of SLOTS slots and of its place therein, as i * GOLDEN alone loses
+    the digits that tell small sources apart when i is large.
+    """
+    spark = targets.sparkSession
     order = Window.orderBy("s")
     upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
     below = F.coalesce(F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -65,36 +69,29 @@ def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
     line = targets.where("target > 0").select("s", (below / whole).alias("lo"), F.when(upto == whole, F.lit(2.0)).otherwise(upto / whole).alias("hi"))
     cells = F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))
     line = line.select("s", "lo", "hi", F.explode(cells).alias("cell"))
-    point = F.col("id") * F.lit(GOLDEN)
-    slots = spark.range(n).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    slots = slots.join(line, "cell").where("u >= lo and u < hi").select("slot", "s", F.expr(f"slot div {CHUNK}").alias("chunk"))
-    counts = slots.groupBy("s", "chunk").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("s", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
-    return slots.withColumn("within", rank).join(counts, ["s", "chunk"]).select("slot", "s", (F.col("base") + F.col("within")).alias("rank"))
+    part = lambda x: x - F.floor(x)
+    point = part(F.expr(f"id div {SLOTS}") * F.lit(SLOTS * GOLDEN % 1)) + part(F.expr(f"id % {SLOTS}") * F.lit(GOLDEN))
+    slots = spark.range(0, total, 1, max(1, -(-total // SLOTS))).select(F.col("id").alias("slot"), part(point).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    return slots.join(line, "cell").where("u >= lo and u < hi").select("slot", "s")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` (small ones, such as ids) of every row, and size, source_size, target and taken: the words the mix takes, repeats counted.
 
-    Documents without words take nothing. A source's slots end when all of its blocks were taken `most` times. Rows
+    Documents without words take nothing. A source's slots end when all of its words were taken `most` times. Rows
     that are alike in all columns get interchangeable results; null ids are ordinary ids. Empty tables give no rows.
     """
     sized = materialize(docs.select(F.struct(*keep).alias("kept"), "doc_id", "source", word_count("text").alias("size")), "mixing-sizes")
     total = sized.agg(F.sum("size")).first()[0] or 0
-    block = max(1, -(-total // SLOTS))
     targets = materialize(source_targets(sized, weights, most), "mixing-targets")
     known = targets.select(F.col("source").alias("name"), "s", "source_size", "target")
     sized = sized.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = shuffled_offsets(sized.where("size > 0"))
-    blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
-    pieces = placed.withColumn("block", F.explode(blocks))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    slots = schedule(targets, total, block).join(targets.select("s", F.expr(f"(source_size + {block - 1}) div {block}").alias("n")), "s")
-    slots = slots.where(F.col("rank") < F.col("n") * most).groupBy("s", (F.col("rank") % F.col("n")).alias("block")).agg(F.count("*").alias("times"))
+    counts = schedule(targets, total).groupBy("s").agg(F.count("*").alias("slots"))
+    # Slots go round the source's words: each word is taken once a round, those before the end of the last round once more.
+    placed = placed.join(counts, "s", "left").withColumn("slots", F.least(F.coalesce("slots", F.lit(0)), F.col("source_size") * most))
+    again = F.greatest(F.least(F.col("size"), F.col("slots") % F.col("source_size") - F.col("start")), F.lit(0))
     out = ["kept.*", "size", "source_size", "target"]
-    taken = pieces.withColumn("words", words).join(slots, ["s", "block"], "left")
-    taken = taken.groupBy("kept", "s", "size", "source_size", "target", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    taken = placed.select(*out, (F.expr("slots div source_size") * F.col("size") + again).cast("long").alias("taken"))
     empty = sized.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
-    return taken.select(*out, "taken").unionByName(empty)
+    return taken.unionByName(empty)
