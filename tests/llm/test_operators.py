@@ -133,6 +133,20 @@ def test_line_dedup(docs, rows):
     assert got == want and sum(n for _, n in got.values()) > 50
 
 
+def test_line_dedup_of_long_passages_of_two_lines(spark):
+    """Repeated stretches of 50 words go however their words are spread over one or two lines; those of 49 stay."""
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    docs, want = [], []
+    for at, (x, y) in enumerate([(23, 46), (25, 25), (49, 1), (1, 49), (5, 60), (60, 5), (60, 60), (25, 24), (1, 48)]):
+        passage = [say(f"x{at}_", x), say(f"y{at}_", y)]
+        docs += [(2 * at, "\n".join([f"one {at}", *passage, f"two {at}"])), (2 * at + 1, "\n".join([f"three {at}", passage[0], "", "  " + passage[1], f"four {at}"]))]
+        want.append((2 * at, 0))
+        want.append((2 * at + 1, 2 if x + y >= 50 else 0))
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sorted((d, r.n_deleted) for d, r in out.items()) == want
+    assert out[1].text == "three 0\n\nfour 0" and out[15].text == docs[15][1]
+
+
 def test_token_histogram(docs, rows, library):
     lengths = [len(library.encode_ordinary(t or "")) for _, t, _ in rows]
     out = {r.context_limit: r for r in token_histogram.length_histogram(token_histogram.token_lengths(docs, PATH, PATTERN), block=64).collect()}
