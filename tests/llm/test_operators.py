@@ -299,6 +299,23 @@ def test_training_order_of_token_ids(docs, rows, library, width):
         assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
 
 
+def test_training_order_query_writes_shards_of_token_ids(spark, docs, rows, library, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    monkeypatch.setattr(training_order, "write_shards", lambda ordered, path, f=training_order.write_shards: (f(ordered, path), written.append(path)))
+    out = queries.op9_training_order(spark, str(tmp_path)).collect()
+    assert sorted(r.slot for r in out) == list(range(len(out))) and len(written) == 1
+    stored = {r.slot: bytes(r.record) for r in training_order.read_from(spark, written[0], 0).collect()}
+    by = defaultdict(dict)
+    for r in out:
+        assert stored[r.slot] == bytes(r.record) and (r.shard, r.byte_offset) == (0, r.slot * 2049)
+        ids = np.frombuffer(bytes(r.record), "<u2")
+        assert len(ids) == 1024 and (ids[r.n_tokens :] == 50257).all()
+        by[r.doc_id][r.seq_no] = ids[: r.n_tokens]
+    for d, t, _ in rows:
+        assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
+
+
 def test_token_ids_that_do_not_fit(spark):
     df = spark.createDataFrame([(1, [70000]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert training_order.training_order(df.where("doc_id > 1"), ids="ids").count() == 2

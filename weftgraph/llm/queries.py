@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import bpe, fingerprints, line_dedup, mixing, order_minhash, quality, suffix_dedup, token_histogram, training_order, warc_revisit
+from weftgraph.llm.shared import materialize, shared_root
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -50,7 +52,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.training_order(_table(spark, sf_dir, "documents"))
+    """The rows of training_order() over the vocabulary's token ids; each record as read again from the written shards.
+
+    The ids after the vocabulary's last one end a document and fill up its last sequence.
+    """
+    path, end = public_tokenizers.path(VOCABULARY), max(bpe.read_ranks(public_tokenizers.path(VOCABULARY)).values()) + 1
+    ids = materialize(bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids")
+    ordered, places = (training_order.training_order(ids, ids="ids", end=end, pad=end + 1, records=x) for x in (True, False))
+    shards = f"{shared_root(spark)}/training-shards-{uuid.uuid4().hex}"
+    training_order.write_shards(ordered, shards)
+    return places.join(training_order.read_from(spark, shards, 0), "slot").select(*ordered.columns)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

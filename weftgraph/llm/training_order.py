@@ -33,7 +33,7 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, ids: str | None = None, width: int = 2, end: int = END, pad: int = PAD) -> DataFrame:
+def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, ids: str | None = None, width: int = 2, end: int = END, pad: int = PAD, records: bool = True) -> DataFrame:
     """One row for each sequence of `length` tokens: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record.
 
     Each row of docs is its text's UTF-8 bytes, or the token ids in its array column `ids` (those of encode_documents(),
@@ -42,34 +42,60 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
     as little-endian values of `width` bytes; an id that doesn't fit fails the job. n_tokens: without `pad`. A record
     stands at byte_offset of its shard of shard_rows records, each followed by one byte. Rows come in partitions of
     consecutive whole shards, sorted by slot. Rows of equal id and text are interchangeable; an empty table gives no
-    row; other columns are not read.
+    row; other columns are not read. Without `records`, rows come in any order and the texts or ids aren't moved.
     """
     spark, unit, kind = docs.sparkSession, 1 if ids is None else width, np.dtype(f"<u{width}")
     if max(end, pad) >> 8 * width:
         raise ValueError(f"end {end} and pad {pad} don't fit in {width} bytes")
-    data = F.coalesce("text", F.lit("")) if ids is None else F.coalesce(F.col(ids).cast("array<long>"), F.array().cast("array<long>"))
+    data = F.coalesce("text", F.lit("")) if ids is None else F.coalesce(F.col(ids), F.array().cast(docs.schema[ids].dataType))
     size = F.octet_length("text") if ids is None else F.size("text")
     rows = docs.select("doc_id", data.alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    rows = rows.withColumn("n_seq", F.floor((size + length) / length).cast("long"))
+    rows = rows.withColumn("size", size.cast("long")).withColumn("n_seq", F.floor((F.col("size") + length) / length).cast("long")).withColumn("tie", F.xxhash64("text"))
     sums = materialize(rows.groupBy("b").agg(F.sum("n_seq").alias("n")), "training-order")
     n = sums.agg(F.sum("n")).first()[0] or 0
     base = sums.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("b").orderBy("h", "doc_id", "n_seq", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("within", F.coalesce(F.sum("n_seq").over(inside), F.lit(0))).join(F.broadcast(base), "b")
-    rows = rows.select("doc_id", "text", (F.col("base") + F.col("within")).alias("first"))
+    inside = Window.partitionBy("b").orderBy("h", "doc_id", "n_seq", "tie").rowsBetween(Window.unboundedPreceding, -1)
     id_type, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(spark)
     shards = max(1, -(-n // shard_rows))
 
-    def packed(values: list[int | None]) -> bytes:
-        wide = np.array(values, np.int64)
-        if len(wide) and (wide.min() < 0 or int(wide.max()) >> 8 * width):
-            raise ValueError(f"token ids from {wide.min()} to {wide.max()} don't fit in {width} bytes")
-        return wide.astype(kind).tobytes()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                flat = some.column(0).flatten()
+                wide = flat.to_numpy(zero_copy_only=False)
+                if flat.null_count or len(wide) and (wide.min() < 0 or int(wide.max()) >> 8 * width):
+                    raise ValueError(f"token ids from {wide.min()} to {wide.max()} don't fit in {width} bytes")
+                raw, ends = wide.astype(kind).tobytes(), np.cumsum([0, *np.asarray(some.column(0).value_lengths())]) * width
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), *some.columns[1:]], names=some.schema.names)
+
+    if records and ids is not None:
+        rows = rows.select("text", "doc_id", "size", "h", "b", "n_seq", "tie").mapInArrow(pack, f"text binary, doc_id {id_type}, size long, h long, b long, n_seq long, tie long")
+    if not records:
+        rows = rows.drop("text")
+    rows = rows.withColumn("within", F.coalesce(F.sum("n_seq").over(inside), F.lit(0))).join(F.broadcast(base), "b")
+    rows = rows.select("doc_id", "text" if records else "size", (F.col("base") + F.col("within")).alias("first"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                sizes = np.asarray(some.column(1))
+                counts = sizes // length + 1
+                row = np.repeat(np.arange(len(sizes)), counts)
+                seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                slots = permuted(np.asarray(some.column(2))[row] + seq, n, key)
+                held = np.minimum(length, sizes[row] - seq * length + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), pa.array(slots % shard_rows * (width * length + 1)), some.column(0).take(pa.array(row)), pa.array(seq), pa.array(held)], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens"])
+
+    known = f"slot long, shard long, byte_offset long, doc_id {id_type}, seq_no long, n_tokens long"
+    if not records:
+        return rows.mapInArrow(place, known)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "text") if ids is None else (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                texts = [t.encode() if ids is None else packed(t) for t in some.column(1).to_pylist()]
+            for some in slices(batch, "text"):
+                texts = [t.encode() if ids is None else t for t in some.column(1).to_pylist()]
                 counts = np.array([len(t) // (unit * length) + 1 for t in texts], np.int64)
                 row = np.repeat(np.arange(len(texts)), counts)
                 seq = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -95,7 +121,7 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
 
     pieces = rows.mapInArrow(cut, f"part int, slot long, doc_id {id_type}, seq_no long, last boolean, piece binary")
     ordered = pieces.repartitionById(parts, F.col("part")).sortWithinPartitions("slot")
-    return ordered.mapInArrow(record, f"slot long, shard long, byte_offset long, doc_id {id_type}, seq_no long, n_tokens long, record binary")
+    return ordered.mapInArrow(record, f"{known}, record binary")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
