@@ -62,6 +62,19 @@ def test_fingerprint_links_join_bands(docs, rows):
         assert j == pytest.approx(len(a & b) / len(a | b)) and j >= 0.8
 
 
+def test_fingerprint_links_miss_none(spark, docs, rows):
+    """All pairs of similarity 0.8, among them those whose bands are headed by a third text that is like neither."""
+    texts = [t for _, t, _ in rows]
+    for k in range(60):
+        w = [f"w{k}_{i}" for i in range(104)]
+        texts += [" ".join(w), " ".join(w[:-5] + [f"x{i}" for i in range(5)]), " ".join([f"y{i}" for i in range(11)] + w[11:]), " ".join(w[7:] + [f"z{i}" for i in range(7)])]
+    sets = {hashlib.sha256((t or "").encode()).digest()[:16]: {s for s, _ in brute.kmers(t)} for t in texts}
+    ids = sorted(k for k, v in sets.items() if v)
+    want = {(b, a) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = [(bytes(r.text_id), bytes(r.leader_id)) for r in fingerprints.near_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_suffix_dedup(docs, rows):
     got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
     assert got == brute.repeats([(d, t) for d, t, _ in rows]) and sum(r[2] for r in got) > 3000
