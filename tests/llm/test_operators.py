@@ -181,6 +181,18 @@ def test_near_duplicates(docs, rows):
     assert len(set(got.values())) < len(got) - 10
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of few words and the same with one word more at an end, or within words that repeat, are of one class."""
+    texts = []
+    for n in (8, 9):
+        for k in range(60):
+            base = [f"w{n}_{k}_{i}" for i in range(n)]
+            texts += [" ".join(base), " ".join([*base, "more"]) if k % 2 else " ".join(["more", *base])]
+    texts += ["same " * 8, "same " * 9, "other " * 9, "other " * 10]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute.classes(list(enumerate(texts))) == {d: d // 2 * 2 for d in range(len(texts))}
+
+
 def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(order_minhash, "BLOCK", 800)
     assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == brute.classes([(d, t) for d, t, _ in rows])
