@@ -160,6 +160,28 @@ def test_line_dedup_of_long_passages_of_two_lines(spark):
     assert out[1].text == "three 0\n\nfour 0" and out[15].text == docs[15][1]
 
 
+def test_winnowing_selects_few_lines_and_the_same_of_equal_runs():
+    """About 2 of 4 lines for runs of 3, as winnowing promises; wherever a run stands, it selects the same line of its own."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    hashes[2000:2040] = hashes[100:140]
+    first = np.arange(3998)
+    at, runs = line_dedup.selected(hashes, first, np.full(3998, 3), 3)
+    assert 0.45 < len(at) / 4000 < 0.55 and sum(bin(x).count("1") for x in runs.tolist()) == 3998
+    inside = lambda a: {p - a: r for p, r in zip(at.tolist(), runs.tolist()) if a + 2 <= p < a + 38}
+    assert inside(100) == inside(2000)
+
+
+@pytest.mark.parametrize("run, long", [(1, 50), (2, 9), (4, 12), (7, 1000)])
+def test_line_dedup_of_other_runs(spark, run, long):
+    """Against all runs of `run` lines, one by one."""
+    import random
+
+    r = random.Random(run)
+    docs = [(d, "\n".join(r.choice("abcdef") for _ in range(r.randint(0, 40)))) for d in range(30)]
+    got = {x.doc_id: (x.text, x.n_deleted) for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run, long).collect()}
+    assert got == brute.line_runs(docs, run, long)
+
+
 def test_token_histogram(docs, rows, library):
     lengths = [len(library.encode_ordinary(t or "")) for _, t, _ in rows]
     out = {r.context_limit: r for r in token_histogram.length_histogram(token_histogram.token_lengths(docs, PATH, PATTERN), block=64).collect()}
