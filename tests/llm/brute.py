@@ -46,8 +46,11 @@ def order_similarity(x, y):
     return m / (len(x) + len(y) - m) if x and y else 0.0
 
 
-def classes(docs, least=0.8):
-    """doc_id to the least doc_id of its class, over all pairs that share a k-mer, and equal texts."""
+def classes(docs, least=0.8, ordered=True):
+    """doc_id to the least doc_id of its class, over all pairs that share a k-mer, and equal texts.
+
+    Not ordered: the k-mers are compared as sets.
+    """
     root = {d: d for d, _ in docs}
 
     def find(a):
@@ -55,7 +58,7 @@ def classes(docs, least=0.8):
             a = root[a]
         return a
 
-    sets, holders, texts = {d: kmers(t) for d, t in docs}, defaultdict(list), defaultdict(list)
+    sets, holders, texts = {d: kmers(t) if ordered else sorted({(s, 0) for s, _ in kmers(t)}) for d, t in docs}, defaultdict(list), defaultdict(list)
     for d, t in docs:
         texts[t or ""].append(d)
     heads = [v[0] for v in texts.values()]

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import bpe, fingerprints, line_dedup, mixing, order_minhash, quality, queries, suffix_dedup, textvec, token_histogram, training_order, warc_revisit
+from weftgraph.llm import bpe, fingerprints, line_dedup, linking, mixing, order_minhash, quality, queries, suffix_dedup, textvec, token_histogram, training_order, warc_revisit
 
 PATH, PATTERN = public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
@@ -52,27 +52,59 @@ def test_fingerprints(docs, rows):
         assert out[d].near_next == (x == y).mean()
 
 
-def test_fingerprint_links_join_bands(docs, rows):
-    texts = {hashlib.sha256((t or "").encode()).digest()[:16]: {s for s, _ in brute.kmers(t)} for _, t, _ in rows}
-    found = {frozenset((bytes(r.text_id), bytes(r.leader_id))): r.jaccard for r in fingerprints.near_links(docs).collect()}
-    assert found
-    for pair, j in found.items():
-        a, b = (texts[x] for x in pair)
-        # Shingles of joined words are told apart by their words only, as here.
-        assert j == pytest.approx(len(a & b) / len(a | b)) and j >= 0.8
+def test_fingerprint_classes(docs, rows):
+    out = fingerprints.near_classes(docs).collect()
+    got = {r.doc_id: r.class_id for r in out}
+    assert got == brute.classes([(d, t) for d, t, _ in rows], ordered=False) and len(set(got.values())) < len(got) - 10
+    assert {r.doc_id: r.class_size for r in out} == {d: Counter(got.values())[c] for d, c in got.items()}
 
 
-def test_fingerprint_links_miss_none(spark, docs, rows):
-    """All pairs of similarity 0.8, among them those whose bands are headed by a third text that is like neither."""
-    texts = [t for _, t, _ in rows]
+def _chains() -> list[str]:
+    """Texts alike to some of those they share bands with, but not to others, whose least text_id heads the bands."""
+    texts = []
     for k in range(60):
         w = [f"w{k}_{i}" for i in range(104)]
         texts += [" ".join(w), " ".join(w[:-5] + [f"x{i}" for i in range(5)]), " ".join([f"y{i}" for i in range(11)] + w[11:]), " ".join(w[7:] + [f"z{i}" for i in range(7)])]
-    sets = {hashlib.sha256((t or "").encode()).digest()[:16]: {s for s, _ in brute.kmers(t)} for t in texts}
-    ids = sorted(k for k, v in sets.items() if v)
-    want = {(b, a) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    got = [(bytes(r.text_id), bytes(r.leader_id)) for r in fingerprints.near_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    return texts
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_classes_miss_no_link(spark, rows, ordered):
+    """All pairs of similarity 0.8, among them those whose buckets are headed by a third text that is like neither."""
+    texts = list(enumerate([t for _, t, _ in rows] + _chains()))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    out = (order_minhash.near_duplicates if ordered else fingerprints.near_classes)(df).collect()
+    assert {r.doc_id: r.class_id for r in out} == brute.classes(texts, ordered=ordered)
+
+
+def _frames() -> list[tuple[int, str]]:
+    """A long frame that many texts share, with insides that are alike in twos and threes or not at all."""
+    import random
+
+    r, frame = random.Random(8), [f"f{i}" for i in range(60)]
+    texts = []
+    for k in range(40):
+        inside = [f"i{k}_{i}" for i in range(40)]
+        for copy in range(k % 3 + 1):
+            own = list(inside)
+            for i in r.sample(range(40), copy):
+                own[i] = f"o{k}_{copy}_{i}"
+            texts.append(" ".join(frame + own))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("small, block", [(16, 6 << 20), (1, 6 << 20), (1, 3000), (100, 1)])
+@pytest.mark.parametrize("ordered", [False, True])
+def test_classes_within_large_buckets(spark, monkeypatch, ordered, small, block):
+    """Buckets of many classes, whichever way they are worked on."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    monkeypatch.setattr(linking, "BLOCK", block)
+    monkeypatch.setattr(linking, "BATCH", 3)
+    texts = _frames()
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    out = (order_minhash.near_duplicates if ordered else fingerprints.near_classes)(df).collect()
+    want = brute.classes(texts, ordered=ordered)
+    assert {r.doc_id: r.class_id for r in out} == want and 20 < len(set(want.values())) < len(texts) - 10
 
 
 def test_suffix_dedup(docs, rows):
@@ -216,7 +248,8 @@ def test_near_duplicates_of_short_texts(spark):
 
 
 def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(order_minhash, "BLOCK", 800)
+    for name, value in (("BLOCK", 800), ("SMALL", 2), ("BATCH", 2)):
+        monkeypatch.setattr(linking, name, value)
     assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == brute.classes([(d, t) for d, t, _ in rows])
 
 
@@ -400,7 +433,7 @@ def test_bpe_of_long_pieces(text, library):
 
 ODD = [(1, None, None), (2, "", "a"), (3, "same text " * 60, "a"), (3, "same text " * 60, "a"), (None, "same text " * 60, None), (None, None, "b"), (4, "word", "b"), (3, "other text with the same id\n" * 9, "b"), (5, "long " * 70000, "b")]
 OPERATORS = {
-    "fingerprints": fingerprints.edit_fingerprints, "suffix": suffix_dedup.remove_repeats, "lines": line_dedup.dedup_lines, "near": order_minhash.near_duplicates, "quality": quality.judge_documents,
+    "fingerprints": fingerprints.edit_fingerprints, "suffix": suffix_dedup.remove_repeats, "lines": line_dedup.dedup_lines, "near": order_minhash.near_duplicates, "classes": fingerprints.near_classes, "quality": quality.judge_documents,
     "mixing": mixing.mix_sources, "order": training_order.training_order, "bpe": lambda d: bpe.code_digests(d, PATH, PATTERN),
 }
 CLASHING = ("size", "bucket", "k", "s", "start", "block", "target", "h", "b", "ids", "root", "text_id", "kept", "n", "lost", "spans", "part", "first", "anchor", "line")

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.linking import Likeness, linked_classes
 from weftgraph.llm.shared import materialize, partitions, range_bucket, range_cuts, slices, utf8
 from weftgraph.llm.textvec import mix, shingles, word_hashes, words
 
-WORDS, PERMUTATIONS = 5, 128
-_LEAST = -(1 << 63)
+#: Words of a shingle, places and bands of a fingerprint, least similarity of linked texts.
+WORDS, PERMUTATIONS, BANDS, LEAST = 5, 128, 32, 0.8
+_LEAST, _STEP = -(1 << 63), np.uint64(0xD6E8FEB86659FD93)
 
 
 def coefficients(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -125,39 +127,65 @@ def edit_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS) -> Data
     return _by_neighbour(docs, partitions(docs.sparkSession)).mapInArrow(run, schema)
 
 
-def fingerprint_texts(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, text_id, signature) for each row: text_id is the first half of the text's SHA-256, signature an array of 16-bit values."""
+def fingerprint_texts(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, text_id, size, buckets) for each row: text_id is half of the text's SHA-256, size its bytes, buckets a hash of
+    each band of its signature; a text without a word has none."""
+    width = permutations // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             for part in slices(batch, "text"):
-                signs = signatures(*text_shingles(*utf8(part.column(1))), permutations).astype(np.int32)
-                ids = [hashlib.sha256((t or "").encode()).digest()[:16] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(list(signs), pa.list_(pa.int32()))], names=["doc_id", "text_id", "signature"])
+                data, offsets = utf8(part.column(1))
+                values, at = text_shingles(data, offsets)
+                signs = signatures(values, at, permutations)[:, : bands * width].astype(np.uint64).reshape(-1, bands, width)
+                hashed = np.broadcast_to(salt, signs.shape[:2])
+                for k in range(width):
+                    hashed = mix(hashed * _STEP + signs[:, :, k])
+                made = [x if n else [] for x, n in zip(hashed.view(np.int64), np.diff(at), strict=True)]
+                raw = data.tobytes()
+                ids = [hashlib.sha256(raw[i:j]).digest()[:16] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(np.diff(offsets)), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "text_id", "size", "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id binary, signature array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id binary, size long, buckets array<long>")
 
 
-def near_links(docs: DataFrame, least: float = 0.8, bands: int = 32, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(text_id, leader_id, jaccard): all pairs of different texts that share a band of their fingerprints and are alike.
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    values, at = text_shingles(*utf8(column))
+    return [np.unique(values[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
-    leader_id is the lesser text_id. Each pair of a band is verified, so the work grows with the square of a band's
-    texts. A pair of Jaccard similarity 0.8 shares none of 32 bands of 4 with a chance of about 5e-8. Similarity is that
-    of the texts' sets of five-word shingles, computed by Spark's array functions. Copies of a text count once; null
-    counts as empty; texts without a word link to nothing.
-    """
-    rows = permutations // bands
-    signs = materialize(fingerprint_texts(docs, permutations), "fingerprints").dropDuplicates(["text_id"])
-    signs = signs.where(F.exists("signature", lambda x: x != 0xFFFF))
-    parts = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
-    banded = signs.select("text_id", F.explode(parts).alias("band"))
-    led = banded.select(F.col("text_id").alias("leader_id"), "band")
-    pairs = banded.join(led, "band").where("leader_id < text_id").select("text_id", "leader_id").distinct()
+
+def jaccard(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> float:
+    """The Jaccard similarity of two sets, sorted arrays; 0.0 if it is under `least`."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    whole = len(x) + len(y) - shared
+    return shared / whole if whole and shared >= least * whole - 1e-9 else 0.0
+
+
+def bodies_of(docs: DataFrame) -> DataFrame:
+    """(id, text) of each different text; copies go where they are read already, so a large group of them doesn't meet in one task."""
     text = F.coalesce("text", F.lit(""))
-    bodies = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("id"), text.alias("body")).dropDuplicates(["id"])
-    tokens = F.filter(F.split("body", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, WORDS), " "))
-    sets = bodies.withColumn("w", tokens).select("id", F.array_distinct(cut).alias("s"))
-    joined = pairs.join(sets.select(F.col("id").alias("text_id"), F.col("s").alias("x")), "text_id").join(sets.select(F.col("id").alias("leader_id"), F.col("s").alias("y")), "leader_id")
-    jaccard = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return joined.select("text_id", "leader_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+    return docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("id"), text.alias("text")).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def with_classes(base: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """(doc_id, text_id, class_id, class_size, root) of the rows of base (doc_id, text_id) by the classes (id, root) of their texts."""
+    rows = base.select("doc_id", "text_id").join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    # Written, the join reads it by an exchange of its own, so AQE can split the rows of a large class.
+    heads = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), f"{name}-heads")
+    return rows.join(heads, "root").select("doc_id", "text_id", "class_id", "class_size", "root")
+
+
+def near_classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(doc_id, text_id, class_id, class_size, root) for each row of docs: classes of texts alike by their fingerprints.
+
+    Texts that share a band of their fingerprints are candidates; those whose sets of five-word shingles have a Jaccard
+    similarity of `least` or more are linked; classes are the connected components of equal or linked texts (see
+    linked_classes()). A pair of similarity 0.8 shares none of 32 bands of 4 with a chance of about 5e-8. class_id is
+    the least doc_id of the class (nulls apart), class_size its rows, root its least text_id. Copies of a text count
+    once when texts are compared; null counts as empty; texts without a word are alike only to equal ones. Repeated
+    rows stay; an empty table gives no row; other columns are not read.
+    """
+    base = materialize(fingerprint_texts(docs, permutations, bands), "fingerprints")
+    texts = base.groupBy("text_id").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets")).withColumnRenamed("text_id", "id")
+    return with_classes(base, linked_classes(texts, bodies_of(docs), Likeness(_sets, jaccard, least), "fingerprints"), "fingerprints")

@@ -68,7 +68,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_warc_revisit, op4_line_dedup, op5_token_histogram, op6_order_minhash, op7_quality, op8_mixing, op9_training_order, op10_bpe)}
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join of op1's fingerprints with verified Jaccard similarities, as a class of each document."""
+    return fingerprints.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_warc_revisit, op4_line_dedup, op5_token_histogram, op6_order_minhash, op7_quality, op8_mixing, op9_training_order, op10_bpe, fingerprint_classes)}
+
 #: The steps of canonical_url() in DuckDB's writing.
 _CANONICAL = "lower(trim(url))"
 for _pattern, _by in (
