@@ -3,37 +3,45 @@
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.config import CompactionConfig
 from weftgraph.functions.codec import encode_relationship
-from weftgraph.operators.relationships import newest_first, without_expired
+from weftgraph.operators.relationships import without_expired
 
 
 def dedup(rels: DataFrame) -> DataFrame:
-    """The newest relationship of each entity, related entity and type."""
-    rank = F.row_number().over(Window.partitionBy("entity_id", "related_id", "rel_type").orderBy(*newest_first()))
-    return rels.withColumn("_k", rank).where("_k = 1").drop("_k")
+    """The newest relationship of each entity, related entity and type; of equally new ones that of the least source.
+
+    An aggregate, so that repeated relationships go where they are read, before the shuffle.
+    """
+    keys = ("entity_id", "related_id", "rel_type")
+    rest = F.struct(*(c for c in rels.columns if c not in keys))
+    newest = F.min_by(rest, F.struct(F.col("created_at").isNull(), -F.col("created_at"), F.col("source")))
+    return rels.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*").select(*rels.columns)
 
 
 def merge(rels: DataFrame) -> DataFrame:
     """One relationship for each entity and related entity, folded from the newest on.
 
     Confidence and creation are the largest, frequencies add up, attributes of later ones win, the rest is the first's.
-    Sources are told as "merged:" once for each merge, then all of them by comma.
+    Sources are told as "merged:" once for each merge, then all of them by comma: a row holds the sources of all that it
+    was merged from, so its size grows with them; after dedup(), that is one for each type.
     """
     kept = ("rel_type", "inference_type", "expires_at", "source", "confidence", "created_at", "frequency")
     entries = F.map_entries("attributes").alias("attributes")
     each = F.collect_list(F.struct((-F.col("created_at")).alias("age"), "rel_type", "source", entries, F.struct(*kept).alias("r")))
     g = rels.groupBy("entity_id", "related_id").agg(F.array_sort(each).alias("all"), F.max("confidence").alias("confidence"), F.max("created_at").alias("created_at"), F.sum("frequency").alias("frequency"))
     sources, first, n = F.array_join(F.transform("all", lambda x: x["source"]), ","), F.col("all")[0]["r"], F.size("all")
-    # The last entry of a key wins: an entry stays if no later one has its key.
-    flat = F.flatten(F.transform("all", lambda x: x["attributes"]))
-    last = F.filter(flat, lambda e, i: ~F.exists(F.slice(flat, i + 2, F.size(flat)), lambda later: later["key"] == e["key"]))
+    # The last entry of a key wins: sorted by key and place, the one before another key.
+    flat = F.flatten(F.transform("all", lambda x: F.coalesce(x["attributes"], F.array().cast("array<struct<key:string,value:string>>"))))
+    g = g.withColumn("flat", F.array_sort(F.transform(flat, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))))
+    last = F.filter("flat", lambda e, i: (i == F.size("flat") - 1) | (F.get("flat", i + 1)["key"] != e["key"]))
+    attributes = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
     return g.select(
         "entity_id", "related_id", first["rel_type"].alias("rel_type"), first["inference_type"].alias("inference_type"), "confidence", "created_at",
-        first["expires_at"].alias("expires_at"), "frequency", F.concat(F.repeat(F.lit("merged:"), n - 1), sources).alias("source"), F.map_from_entries(last).alias("attributes"),
+        first["expires_at"].alias("expires_at"), "frequency", F.concat(F.repeat(F.lit("merged:"), n - 1), sources).alias("source"), attributes.alias("attributes"),
     )
 
 

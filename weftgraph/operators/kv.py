@@ -11,8 +11,8 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def versions(log: DataFrame) -> DataFrame:
-    """All versions by key, newest first."""
-    return log.orderBy("key", F.desc("seq"))
+    """All versions with their number `version`, from 1 for the newest of a key."""
+    return log.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))))
 
 
 def get(log: DataFrame, key: str) -> DataFrame:
@@ -52,6 +52,11 @@ def checksums(log: DataFrame) -> DataFrame:
 
 
 def compact_files(files: DataFrame, small: int = 32 << 20, target: int = 128 << 20) -> DataFrame:
-    """A plan over (path, bytes): files under `small` get a group each of about `target` bytes; others stay."""
-    share = F.sum("bytes").over(Window.orderBy("bytes", "path").rowsBetween(Window.unboundedPreceding, 0))
-    return files.where(F.col("bytes") < small).select("path", "bytes", (share / target).cast("long").alias("merge_group"))
+    """A plan over (path, bytes): files under `small` get a group each of about `target` bytes; others stay.
+
+    Files of a folder are grouped among themselves, in the order of size.
+    """
+    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("folder")
+    order = Window.partitionBy("folder").orderBy("bytes", "path").rowsBetween(Window.unboundedPreceding, 0)
+    share = (F.sum("bytes").over(order) / target).cast("long")
+    return files.where(F.col("bytes") < small).select("path", "bytes", folder).select("path", "bytes", share.alias("merge_group"))

@@ -8,16 +8,29 @@ from weftgraph.operators.relationships import is_active
 from weftgraph.plans.lineage import written
 
 
+#: Nodes of a frontier up to which a hop asks for them by name, so that a table sorted by entity is read in part.
+NAMED = 256
+
+
+def _hop(edges: DataFrame, frontier: DataFrame) -> tuple[DataFrame, int]:
+    """The edges that leave the frontier's nodes, and how many these are, up to NAMED + 1."""
+    names = [r[0] for r in frontier.select("node").limit(NAMED + 1).collect()]
+    if len(names) <= NAMED:
+        return edges.where(F.col("a").isin(names)), len(names)
+    return edges.join(frontier.select(F.col("node").alias("a")), "a"), len(names)
+
+
 def _reach(edges: DataFrame, root: str, depth: int) -> DataFrame:
     """(node, depth) over edges (a, b) from the root, the root itself left out."""
     spark = edges.sparkSession
     visited = spark.createDataFrame([(root, 0)], "node string, depth int")
     frontier = visited
     for d in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        frontier = written(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
-        if frontier.isEmpty():
+        out, n = _hop(edges, frontier)
+        if n == 0:
             break
+        step = out.select(F.col("b").alias("node")).distinct()
+        frontier = written(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         visited = visited.unionByName(frontier)
     return visited.where("depth > 0")
 
