@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,9 @@ from weftgraph.config import CompactionConfig, InferenceConfig
 from weftgraph.functions import codec, routing, similarity
 from weftgraph.functions.bloom import BloomSketch, bloom_size
 from weftgraph.operators import compaction, inference, kv, monitoring, relationships, traverse
+from weftgraph.plans import lineage
 from weftgraph.schemas import EVENT, KV_LOG, NODE, RELATIONSHIP
+from weftgraph.sources.store import KvStore, WriteConflict
 from weftgraph.streaming import ingest
 
 NOW = 1_234_600_000
@@ -245,6 +248,113 @@ def test_streams_match_batches(spark, tmp_path):
     assert spark.sql("select sum(n) from counts").first()[0] == 60
 
 
+def puts(spark, *rows):
+    return spark.createDataFrame(list(rows), "op string, key string, value string")
+
+
+def test_store_keeps_batches_and_files(spark, tmp_path):
+    store, said = KvStore(spark, str(tmp_path), 4).put_batch(puts(spark, *(("PUT", f"key{i}", f"v{i}") for i in range(100)), ("PUT", None, "x"), ("PUT", "y", None), ("DROP", "z", "1")))
+    assert tuple(said.first()) == (100, 3) and not store.is_full() and store.is_full(rows=100)
+    assert store.get("key7").first().value == "v7"
+    store = store.flush()
+    store, _ = store.put_batch(puts(spark, ("DELETE", "key2", None), ("PUT", "key3", "new")))
+    again = KvStore(spark, str(tmp_path), 4)
+    assert again.manifest == store.manifest and again.get("key2").count() == 0 and again.get("key3").first().value == "new"
+    assert [r.key for r in again.scan("key1", "key12").collect()] == ["key1", "key10", "key11", "key12"]
+    assert {(r.key, r.value) for r in again.multi_get(spark.createDataFrame([("key3",), ("key2",), ("no",)], "key string")).collect()} == {("key3", "new"), ("key2", None), ("no", None)}
+    assert again.live().count() == 99
+    s = again.stats().first()
+    assert (s.batches, s.rows_written, s.rows_rejected, s.flushes, s.segments, s.files) == (2, 102, 3, 1, 1, 1)
+    nothing, said = again.put_batch(puts(spark, ("PUT", None, "x")))
+    assert nothing is again and tuple(said.first()) == (0, 1)
+
+
+def test_store_takes_one_of_two_writers(spark, tmp_path):
+    a, b = KvStore(spark, str(tmp_path)), KvStore(spark, str(tmp_path))
+    a = a.put_batch(puts(spark, ("PUT", "k", "a")))[0]
+    with pytest.raises(WriteConflict):
+        b.put_batch(puts(spark, ("PUT", "k", "b")))
+    b = KvStore(spark, str(tmp_path)).put_batch(puts(spark, ("PUT", "k", "b")))[0]
+    assert a.get("k").first().value == "a" and b.get("k").first().value == "b"
+
+
+@pytest.mark.parametrize("strategy", ["size_tiered", "leveled", "adaptive"])
+def test_store_merges_files(spark, tmp_path, strategy):
+    store, want = KvStore(spark, str(tmp_path), 2), {}
+    for batch in range(5):
+        rows = [("DELETE" if (i + batch) % 5 == 0 else "PUT", f"k{i}", f"{batch}-{i}") for i in range(batch, batch + 12)]
+        for op, k, v in rows:
+            want.pop(k, None)
+            if op == "PUT":
+                want[k] = v
+        store = store.put_batch(puts(spark, *rows).coalesce(1))[0].flush()
+    assert {r.key: r.value for r in store.live().collect()} == want and len(store.manifest.files) == 5
+    store = (store.record_reads(1000) if strategy == "adaptive" else store).compact(strategy, least=2)
+    assert {r.key: r.value for r in store.live().collect()} == want
+    while len(store.manifest.files) > 1 and store.plan("size_tiered", 2, 1 << 40):
+        store = store.compact("size_tiered", 2, 1 << 40)
+    assert {r.key: r.value for r in store.live().collect()} == want and len(store.manifest.files) == 1
+    assert store.manifest.files[0].rows == len(want) and len(list((tmp_path / "files").iterdir())) == 1
+
+
+def test_store_recovers_what_is_sound(spark, tmp_path):
+    store = KvStore(spark, str(tmp_path))
+    for i in range(1, 6):
+        store = store.put_batch(spark.createDataFrame([(i, f"key{i}", f"record{i}")], "seq long, key string, value string"))[0]
+    rows, bad = KvStore(spark, str(tmp_path)).recover(3)
+    assert sorted(r.value for r in rows.collect()) == ["record3", "record4", "record5"] and bad == 0
+    store = store.rotate(2)
+    assert len(store.manifest.segments) == 1 and store.recover()[0].count() == 5
+    path = store._path(store.manifest.segments[0])
+    spoiled = spark.createDataFrame(spark.read.parquet(path).withColumn("value", F.when(F.col("seq") == 2, "other").otherwise(F.col("value"))).collect())
+    spoiled.write.mode("overwrite").parquet(path)
+    rows, bad = store.recover()
+    assert bad == 1 and rows.count() == 4
+    with pytest.raises(ValueError):
+        store.flush()
+    assert store.truncate(5) is store
+
+
+def test_streams_take_events_in_any_order(spark, tmp_path):
+    """40 files of shuffled events in batches of 16: as many pairs as the batch operator finds, and the late are counted elsewhere."""
+    r = random.Random(11)
+    df = events(spark, *((f"e{i}", f"u:{r.randrange(9)}", "t", r.randrange(60_000_000), "-", 0) for i in range(400)))
+    df.repartition(40).write.parquet(str(tmp_path / "in"))
+    stream = ingest.read_events(spark, str(tmp_path / "in"))
+    q = ingest.infer_near(stream, str(tmp_path / "out"), str(tmp_path / "c1"))
+    q.awaitTermination()
+    pairs = lambda d: sorted((x.event_id, x.related_id, x.rel_type, x.created_at) for x in d.collect())
+    assert pairs(spark.read.parquet(str(tmp_path / "out/rels"))) == pairs(inference.temporal(df)) and len(q.recentProgress) == 3
+    assert ingest.progress(q).agg(F.sum("input_rows")).first()[0] == 400
+    q = ingest.near_events(stream).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert ingest.dropped_rows(q) > 0 and ingest.progress(q).agg(F.sum("dropped")).first()[0] == ingest.dropped_rows(q)
+
+
+def test_acks_of_ingest(spark, tmp_path):
+    df = events(spark, ("e1", "a", "t", 1, "-", 1), ("e2", None, "t", 1, "-", 1), ("e3", "b", "t", -1, "-"))
+    df.write.parquet(str(tmp_path / "in"))
+    ingest.ingest(ingest.read_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    acks = {r.event_id: (r.accepted, r.error) for r in spark.read.parquet(str(tmp_path / "out/acks")).collect()}
+    assert acks == {"e1": (True, None), "e2": (False, "no entity id"), "e3": (False, "no time")}
+    assert spark.read.parquet(str(tmp_path / "out/nodes")).count() == 1 and spark.read.parquet(str(tmp_path / "out/rels")).count() == 1
+
+
+def test_shared_folder(spark):
+    """Of the session where it names one; on a cluster it has to."""
+    path = lineage.written(spark.range(3), "three").inputFiles()[0].rpartition("/")[0]
+    assert spark.read.parquet(path).count() == 3 and lineage.clear(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+    session = lambda master, **conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    assert lineage.shared_root(session("spark://far:7077", **{"spark.checkpoint.dir": "hdfs:///shared/"})) == "hdfs:///shared"
+    assert lineage.shared_root(session("local[2]")).startswith("file:")
+    for master in ("spark://far:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            lineage.shared_root(session(master))
+
+
 def test_engine_object(spark):
     none = spark.createDataFrame([], NODE), spark.createDataFrame([], RELATIONSHIP)
     first = events(spark, ("e1", "alice", "user", 1, "-", 2), ("e2", "alice", "admin", 2, "a:1 depends on b:1"), ("e3", None, "user", 3, "-", 1), ("e4", "x0", "page", 4, "-"))

@@ -1,13 +1,16 @@
 """The queries by name, each with DuckDB SQL of the same result where SQL can express it."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.config import InferenceConfig
-from weftgraph.functions import codec, routing, similarity
+from weftgraph.api import Engine
+from weftgraph.config import CompactionConfig, InferenceConfig
+from weftgraph.functions import bloom, codec, routing, similarity
 from weftgraph.operators import compaction, inference, kv, monitoring, relationships, traverse
-from weftgraph.plans.lineage import written
+from weftgraph.plans.lineage import fresh_path, written
+from weftgraph.schemas import NODE, RELATIONSHIP
 from weftgraph.sources import tables as src
+from weftgraph.sources.store import KvStore
 from weftgraph.streaming import ingest
 
 #: 2024-01-25, within the events; 1998-06-01, within the orders and shipments.
@@ -104,14 +107,12 @@ def decay_profile(spark, sf_dir):
     return src.table(spark, sf_dir, "events").where("user_id > 0").select("event_id", F.round(similarity.temporal_similarity(F.lit(0), F.col("user_id") * 1000), 6).alias("decay"))
 
 
-@query("""WITH g AS (SELECT p_partkey, p_name, list_distinct([substr(p_name, i::INT, 3) FOR i IN range(1, length(p_name) - 1)]) AS t FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS jaccard
-FROM g a JOIN g b ON b.p_partkey = a.p_partkey + 1""")
+@query("""WITH g AS (SELECT p_name, count(*) AS n, list_distinct([substr(p_name, i::INT, 3) FOR i IN range(1, length(p_name) - 1)]) AS t FROM part GROUP BY p_name)
+SELECT a.p_name AS a, b.p_name AS b, a.n AS a_rows, b.n AS b_rows, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
+FROM g a JOIN g b ON a.p_name < b.p_name WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.3""")
 def trigram_jaccard(spark, sf_dir):
-    """Each part's name against that of the part with the next key: an equi-join, so pairs grow with the table."""
-    part = src.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    a, b = (part.select(F.col("p_partkey").alias(x), F.col("p_name").alias(f"{x}_name")) for x in "ab")
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(similarity.trigram_jaccard(F.col("a_name"), F.col("b_name")), 6).alias("jaccard"))
+    """All pairs of different part names that are alike, each with its number of parts."""
+    return similarity.similar_strings(src.table(spark, sf_dir, "part"), "p_name", 0.3).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"""WITH {_EVENTS} SELECT {_TYPE} AS rel_type, count(*) AS n FROM ev e JOIN ev o ON o.ts_ms BETWEEN e.ts_ms - 600000 AND e.ts_ms + 600000 AND e.entity_id <> o.entity_id AND e.event_id <> o.event_id GROUP BY 1""")
@@ -138,8 +139,8 @@ def _rels(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    """The relationships as a table: walks read them once a hop."""
-    return written(_rels(spark, sf_dir), "rels")
+    """The relationships as a table sorted by entity: a hop of few nodes reads the parts that hold them."""
+    return written(_rels(spark, sf_dir).repartitionByRange("entity_id").sortWithinPartitions("entity_id"), "rels")
 
 
 @query(f"WITH {_RELS} SELECT {_COLS} FROM rels")
@@ -252,9 +253,9 @@ def row_size(spark, sf_dir):
     return relationships.row_sizes(_rels(spark, sf_dir))
 
 
-@query(f"WITH {_RELS} SELECT entity_id, count(*)::INT AS n, string_agg({_ENC}, ';' ORDER BY created_at DESC, related_id, rel_type, source) AS encoded FROM rels WHERE rel_type = 'CHILD_OF' OR rel_type = 'INTERACTS_WITH' GROUP BY entity_id")
+@query(f"WITH {_RELS} SELECT entity_id, count(*)::INT AS n, string_agg({_ENC}, ';' ORDER BY created_at DESC, related_id, rel_type, source) AS encoded FROM rels GROUP BY entity_id")
 def wide_rows(spark, sf_dir):
-    return relationships.wide_rows(_rels(spark, sf_dir).where(F.col("rel_type").isin("CHILD_OF", "INTERACTS_WITH")))
+    return relationships.wide_rows(_rels(spark, sf_dir))
 
 
 @query(f"""WITH {_RELS} SELECT count(*) AS total, count(*) FILTER (expires_at = 0 OR expires_at > {AS_OF}) AS active, count(DISTINCT entity_id) AS entities,
@@ -311,7 +312,7 @@ SELECT node AS node_id, min(depth)::INT AS depth FROM walk GROUP BY node"""
 
 @query(_AROUND)
 def subgraph_nodes(spark, sf_dir):
-    return traverse.subgraph(_rels(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=1_000_000)[0].select("node_id", "depth")
+    return traverse.subgraph(_stored(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=1_000_000)[0].select("node_id", "depth")
 
 
 @query(f"WITH {_RELS} SELECT {_COLS} FROM rels WHERE (entity_id = 'customer:1' OR related_id = 'customer:1') AND inference_type = 'EXPLICIT' AND created_at BETWEEN 800000000000 AND 950000000000")
@@ -319,14 +320,29 @@ def query_relationship_times(spark, sf_dir):
     return traverse.query_relationship(_rels(spark, sf_dir), "customer:1", None, False, 100_000, 800_000_000_000, 950_000_000_000).select(*_FLAT)
 
 
-@query()
+_NEAREST = "idx, edge_key, created_at, rel_type, source"
+
+
+def _levels(depth: int, max_nodes: int) -> str:
+    """SQL of the nodes and the edges that reached them first, level by level."""
+    out = f"""WITH {_RELS}, ed AS (SELECT *, {_KEYED} FROM rels WHERE rel_type IN ('PRECEDES', 'DEPENDS_ON')),
+  both_ AS (SELECT *, entity_id AS a, related_id AS b FROM ed UNION ALL SELECT *, related_id, entity_id FROM ed),
+  v0 AS (SELECT '{ROOT}' AS node, 0 AS idx, 0 AS depth, NULL AS entity_id, NULL AS related_id, NULL AS rel_type, NULL AS source)"""
+    for d in range(1, depth + 1):
+        out += f""",
+  c{d} AS (SELECT both_.*, f.idx FROM both_ JOIN (SELECT node, idx FROM v{d - 1} WHERE depth = {d - 1}) f ON a = f.node WHERE b NOT IN (SELECT node FROM v{d - 1}) QUALIFY row_number() OVER (PARTITION BY b ORDER BY {_NEAREST}) = 1),
+  v{d} AS (SELECT * FROM v{d - 1} UNION ALL SELECT * FROM (SELECT b AS node, (row_number() OVER (ORDER BY {_NEAREST}, b) + (SELECT count(*) FROM v{d - 1}) - 1)::INT AS idx, {d} AS depth, entity_id, related_id, rel_type, source FROM c{d}) WHERE idx < {max_nodes})"""
+    return out
+
+
+@query(_levels(3, 8) + " SELECT node AS node_id, depth::INT AS depth, idx::INT AS node_index FROM v3")
 def subgraph_indices(spark, sf_dir):
-    return traverse.subgraph(_rels(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=8)[0]
+    return traverse.subgraph(_stored(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=8)[0]
 
 
-@query()
+@query(_levels(3, 1_000_000) + " SELECT entity_id, related_id, rel_type, source, node AS reached, depth::INT AS depth FROM v3 WHERE depth > 0")
 def subgraph_edges(spark, sf_dir):
-    return traverse.subgraph(_rels(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=1_000_000)[1]
+    return traverse.subgraph(_stored(spark, sf_dir), ROOT, 3, ["PRECEDES", "DEPENDS_ON"], max_nodes=1_000_000)[1]
 
 
 _LOG = "lg AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, 'user:' || user_id || '/' || (props ->> '$.k') AS key, event_type || '=' || value AS value FROM events)"
@@ -362,10 +378,13 @@ def kv_replay(spark, sf_dir):
 
 @query(f"WITH {_LOG} SELECT key, seq, op, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC)::INT AS version FROM lg")
 def kv_versions(spark, sf_dir):
-    return kv.versions(src.kv_log(spark, sf_dir)).withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))))
+    return kv.versions(src.kv_log(spark, sf_dir))
+
 
+_CRC = """tab AS (SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i))"""
 
-@query()
+
+@query(f"""WITH {_LOG}, {_CRC} SELECT seq, key, xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(value, '')]), lambda h, b: xor(h // 256, t[(xor(h, b) % 256 + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc FROM lg, tab""")
 def kv_checksums(spark, sf_dir):
     return kv.checksums(src.kv_log(spark, sf_dir))
 
@@ -384,7 +403,12 @@ def shard_assign(spark, sf_dir):
     return src.table(spark, sf_dir, "customer").select("c_custkey", routing.shard_of(src.id_of("customer", "c_custkey"), 16).alias("shard"))
 
 
-@query()
+_DJB2 = "list_reduce(list_prepend(5381::UHUGEINT, [ord(c)::UHUGEINT FOR c IN string_split({0}, '')]), lambda h, c: (h * 33 + c) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+@query(f"""WITH pt AS (SELECT s, {_DJB2.format("'shard_' || s || '_node_' || r")} AS p FROM range(16) a(s), range(150) b(r)),
+k AS (SELECT c_custkey, {_DJB2.format("'customer:' || c_custkey")} AS h FROM customer)
+SELECT c_custkey, coalesce(s, (SELECT arg_min(s, p) FROM pt))::INT AS shard FROM k ASOF LEFT JOIN pt ON k.h <= pt.p""")
 def ring_assign(spark, sf_dir):
     return src.table(spark, sf_dir, "customer").select("c_custkey", routing.ring_shard_of(src.id_of("customer", "c_custkey"), 16).alias("shard"))
 
@@ -395,10 +419,10 @@ def health(spark, sf_dir):
     return monitoring.health(metrics).select("user_id", "queue_depth", "status")
 
 
-def _as_stream(spark, sf_dir, name: str) -> tuple[DataFrame, str]:
-    """The events as a file stream, and a folder for the stream's tables in the shared place."""
-    path = written(src.events(spark, sf_dir), name).inputFiles()[0].rpartition("/")[0]
-    return ingest.read_events(spark, path), path + "-stream"
+def _as_stream(spark, sf_dir, name: str, files: int = 40) -> tuple[DataFrame, str]:
+    """The events as a stream of so many files, none of them in the order of time, and a folder for the stream's tables."""
+    path = written(src.events(spark, sf_dir).repartition(files, "event_id"), name).inputFiles()[0].rpartition("/")[0]
+    return ingest.read_events(spark, path), fresh_path(spark, f"{name}-out")
 
 
 @query(f"WITH {_EVENTS} SELECT 'node' AS kind, event_type AS name, count(*) AS n FROM ev GROUP BY 2 UNION ALL SELECT 'rel', 'REFERENCES', sum(CASE WHEN n % 50 = 0 THEN 5 WHEN n % 3 = 0 THEN 1 ELSE 0 END)::BIGINT FROM ev")
@@ -412,20 +436,168 @@ def stream_ingest(spark, sf_dir):
 @query(f"WITH {_EVENTS}, {_TEMPORAL} SELECT event_id, entity_id, related_id, created_at, round(confidence, 6) AS confidence FROM te WHERE confidence >= 0.7")
 def stream_infer(spark, sf_dir):
     stream, out = _as_stream(spark, sf_dir, "stream-infer")
-    ingest.near_events(stream).writeStream.format("parquet").option("path", out + "/rels").option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out + "/rels")
+    ingest.infer_near(stream, out, out + "/checkpoint").awaitTermination()
+    made = spark.read.parquet(out + "/rels")
+    return made.select("event_id", "entity_id", "related_id", "created_at", F.round("confidence", 6).alias("confidence"))
+
+
+def _spoiled(spark, sf_dir) -> DataFrame:
+    """The events, each fifth without an entity and each seventh without a time."""
+    number = F.substring_index("event_id", ":", -1).cast("long")
+    return src.events(spark, sf_dir).withColumn("entity_id", F.when(number % 5 != 0, F.col("entity_id"))).withColumn("ts_ms", F.when(number % 7 != 0, F.col("ts_ms")))
 
 
 @query(f"""WITH {_EVENTS} SELECT CASE WHEN n % 5 = 0 THEN 'no entity id' WHEN n % 7 = 0 THEN 'no time' END AS error, count(*) AS n FROM ev GROUP BY 1""")
 def ingest_validate(spark, sf_dir):
-    number = F.substring_index("event_id", ":", -1).cast("long")
-    spoiled = src.events(spark, sf_dir).withColumn("entity_id", F.when(number % 5 != 0, F.col("entity_id"))).withColumn("ts_ms", F.when(number % 7 != 0, F.col("ts_ms")))
-    return ingest.validated(spoiled).groupBy("error").agg(F.count("*").alias("n"))
+    return ingest.validated(_spoiled(spark, sf_dir)).groupBy("error").agg(F.count("*").alias("n"))
+
+
+def _complete(counts: DataFrame, spark, out: str) -> DataFrame:
+    """Runs a stream of counts to its end; each batch's table of complete counts replaces the one before."""
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(out + "/counts")
+    counts.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out + "/counts")
 
 
 @query(f"WITH {_EVENTS} SELECT ts_ms // 3600000 * 3600000 AS start_ms, event_type, count(*) AS n FROM ev GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     stream, out = _as_stream(spark, sf_dir, "stream-windows")
-    # Each run's last table of complete counts replaces the one before.
-    ingest.windowed_counts(stream).writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out + "/counts")).outputMode("complete").option("checkpointLocation", out + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out + "/counts")
+    return _complete(ingest.windowed_counts(stream), spark, out)
+
+
+@query(f"WITH {_EVENTS} SELECT (ts_ms // 1800000 - back) * 1800000 AS start_ms, event_type, count(*) AS n FROM ev, range(2) r(back) GROUP BY 1, 2")
+def stream_sliding(spark, sf_dir):
+    stream, out = _as_stream(spark, sf_dir, "stream-sliding")
+    return _complete(ingest.windowed_counts(stream, "1 hour", slide="30 minutes"), spark, out)
+
+
+@query(f"""WITH {_EVENTS}, st AS (SELECT *, CASE WHEN ts_ms < lag(ts_ms) OVER o + 600000 THEN 0 ELSE 1 END AS new FROM ev WINDOW o AS (PARTITION BY entity_id ORDER BY ts_ms)),
+se AS (SELECT *, sum(new) OVER (PARTITION BY entity_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS k FROM st)
+SELECT entity_id, min(ts_ms) AS start_ms, max(ts_ms) + 600000 AS end_ms, count(*) AS n FROM se GROUP BY entity_id, k""")
+def stream_sessions(spark, sf_dir):
+    stream, out = _as_stream(spark, sf_dir, "stream-sessions")
+    # The files are in no order of time, so the watermark has to reach over all of it.
+    return _complete(ingest.session_counts(stream, late="3650 days"), spark, out)
+
+
+@query(f"""WITH {_EVENTS} SELECT n % 5 <> 0 AND n % 7 <> 0 AS accepted, CASE WHEN n % 5 = 0 THEN 'no entity id' WHEN n % 7 = 0 THEN 'no time' END AS error, count(*) AS n FROM ev GROUP BY 1, 2""")
+def ingest_acks(spark, sf_dir):
+    """What a stream with spoiled events answers for each of them."""
+    path = written(_spoiled(spark, sf_dir).repartition(8, "event_id"), "acks-in").inputFiles()[0].rpartition("/")[0]
+    out = fresh_path(spark, "acks-out")
+    ingest.ingest(ingest.read_events(spark, path), out, out + "/checkpoint").awaitTermination()
+    return spark.read.parquet(out + "/acks").groupBy("accepted", "error").agg(F.count("*").alias("n"))
+
+
+def _filled(spark, sf_dir, name: str, batches: int, keep: int = 0) -> KvStore:
+    """A store that took the log in batches by sequence number and flushed each but the last `keep`."""
+    log, store = src.kv_log(spark, sf_dir), KvStore(spark, fresh_path(spark, name))
+    for k in range(batches):
+        store, _ = store.put_batch(log.where(F.col("seq") % batches == k))
+        if k < batches - keep:
+            store = store.flush()
+    return store
+
+
+@query(f"WITH {_LOG} {_LATEST.format('lg')}")
+def kv_flush_read(spark, sf_dir):
+    """Live keys of a store of two sorted files and two segments of the log."""
+    return _filled(spark, sf_dir, "kv-flush", 4, 2).live()
+
+
+@query(f"WITH {_LOG}, o AS (SELECT * FROM lg WHERE key BETWEEN 'user:10/' AND 'user:20/5') {_LATEST.format('o')}")
+def kv_store_scan(spark, sf_dir):
+    return _filled(spark, sf_dir, "kv-scan", 2).scan("user:10/", "user:20/5")
+
+
+@query(f"WITH {_LOG}, o AS (SELECT * FROM lg WHERE key = 'user:46/89') {_LATEST.format('o')}")
+def kv_store_get(spark, sf_dir):
+    return _filled(spark, sf_dir, "kv-get", 2, 1).get("user:46/89")
+
+
+@query(f"WITH {_LOG} SELECT seq, op, key, CASE WHEN op = 'PUT' THEN value END AS value FROM lg WHERE seq % 3 > 0 AND seq >= 100")
+def kv_recover(spark, sf_dir):
+    """What a replay from sequence number 100 finds sound in the log, a third of which was flushed."""
+    return _filled(spark, sf_dir, "kv-recover", 3, 2).recover(100)[0]
+
+
+@query(f"WITH {_LOG} {_LATEST.format('lg')}")
+def file_compaction(spark, sf_dir):
+    """Live keys after five files were merged into one, deletes and old versions dropped."""
+    store = _filled(spark, sf_dir, "kv-compact", 5).compact("leveled", least=4)
+    return store._read(store.manifest.files).select("key", "value", "seq")
+
+
+@query(f"""WITH {_LOG}, li AS ({_LATEST.format('lg')}) SELECT 5::BIGINT AS batches, count(*) AS rows_written, 5::BIGINT AS flushes, 1::BIGINT AS compactions, 5::BIGINT AS files_merged, 0::BIGINT AS segments, 1::BIGINT AS files, (SELECT count(*) FROM li) AS file_rows FROM lg""")
+def write_stats(spark, sf_dir):
+    stats = _filled(spark, sf_dir, "kv-stats", 5).compact("leveled", least=4).stats()
+    return stats.select("batches", "rows_written", "flushes", "compactions", "files_merged", "segments", "files", "file_rows")
+
+
+@query("SELECT 'present' AS kind, count(DISTINCT c_custkey) AS probes, 0::BIGINT AS denied, true AS within_rate FROM customer UNION ALL SELECT 'absent', count(DISTINCT c_custkey), NULL, true FROM customer")
+def bloom_lookup(spark, sf_dir):
+    """Bloom filters of all customers' ids in eight parts, asked for all of them and for as many other ids: none of the former
+    may be denied, of the latter at most 3 in 100 let through."""
+    ids = src.table(spark, sf_dir, "customer").select(src.id_of("customer", "c_custkey").alias("id"))
+    items = max(64, ids.count() // 8)
+    filters = written(bloom.partitioned_filter(ids, "id", 8, items), "bloom")
+    probes = ids.select("id", F.lit("present").alias("kind")).unionByName(ids.select(F.concat("id", F.lit("?")).alias("id"), F.lit("absent").alias("kind"))).distinct()
+    found = bloom.might_contain(filters, probes, "id", 8, items).join(probes, "id")
+    return found.groupBy("kind").agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("no"), F.count_if("maybe").alias("yes")).select(
+        "kind", "probes", F.when(F.col("kind") == "present", F.col("no")).alias("denied"), F.when(F.col("kind") == "present", F.lit(True)).otherwise(F.col("yes") <= 0.03 * F.col("probes")).alias("within_rate"),
+    )
+
+
+@query(f"""WITH sh AS (SELECT 'customer:' || o_custkey AS entity_id, 'supplier:' || (l_suppkey % 20) AS related_id, CASE WHEN l_linenumber % 2 = 0 THEN 'DEPENDS_ON' ELSE 'INTERACTS_WITH' END AS rel_type,
+  {_MS.format('l_shipdate')} AS created_at, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS source, l_linestatus, 'line' || l_linenumber AS line, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+en AS (SELECT *, 'flag' AS k, l_linestatus AS v FROM sh UNION ALL SELECT *, line, l_returnflag FROM sh),
+la AS (SELECT entity_id, related_id, k, arg_max(v, (-created_at, rel_type, source)) AS v FROM en GROUP BY ALL)
+SELECT entity_id, related_id, string_agg(k || '=' || v, ',' ORDER BY k) AS attributes FROM la GROUP BY ALL""")
+def compact_merge_attributes(spark, sf_dir):
+    """The attributes of merged relationships: of each name, the value of the last one in the order of folding."""
+    pairs = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return compaction.merge(src.shipments(spark, sf_dir)).select("entity_id", "related_id", F.array_join(pairs, ",").alias("attributes"))
+
+
+_FIGURES = f"""fi AS (SELECT entity_id, count(*) AS n, count(*) FILTER (expires_at > 0 AND expires_at <= {SHIP_NOW}) AS expired,
+  (octet_length(encode(entity_id)) + 8 + sum({_SHIP_ENC} + 1))::BIGINT AS size_bytes, min(coalesce(access_frequency, 0.5)) AS min_access FROM ship LEFT JOIN ac USING (related_id) GROUP BY entity_id)"""
+_SMALL = CompactionConfig(max_bytes=4000, max_relationships=30, min_frequency=0.04, min_priority=0.9)
+
+
+@query(f"""WITH {_SHIP}, {_ACCESS}, {_FIGURES} SELECT entity_id, size_bytes > 4000 OR n > 30 AS by_size, min_access < 0.04 AS by_frequency,
+  greatest(size_bytes / 4000.0, n / 30.0, expired / n, 1 - least(1.0, min_access)) >= 0.9 AS by_hybrid, round(1 - least(1.0, min_access), 6) AS frequency_priority FROM fi""")
+def compact_policies(spark, sf_dir):
+    """What the size, frequency and hybrid strategies say of each entity, by measured accesses."""
+    figures = compaction.entity_figures(src.shipments(spark, sf_dir), SHIP_NOW, _access(spark, sf_dir), _SMALL)
+    for kind in ("size", "frequency", "hybrid"):
+        figures = compaction.should_compact(figures, kind, SHIP_NOW, _SMALL).withColumnRenamed("should", f"by_{kind}")
+    return figures.select("entity_id", "by_size", "by_frequency", "by_hybrid", F.round(compaction.FrequencyPolicy().priority(_SMALL), 6).alias("frequency_priority"))
+
+
+@query(f"""WITH {_SHIP}, ru AS (SELECT count(*) - count(*) FILTER (NOT (expires_at > 0 AND expires_at <= {SHIP_NOW})) AS removed, coalesce(sum(frequency) FILTER (expires_at > 0 AND expires_at <= {SHIP_NOW}), 0) AS bytes_saved, count(*)::DOUBLE AS ms FROM ship GROUP BY entity_id)
+SELECT count(*) AS runs, sum(removed)::BIGINT AS removed, sum(bytes_saved)::BIGINT AS bytes_saved, round(avg(ms), 6) AS avg_ms FROM ru""")
+def compact_run_stats(spark, sf_dir):
+    """Totals of a log of compaction runs, one for each entity; its frequencies stand for bytes, its rows for milliseconds."""
+    gone = (F.col("expires_at") > 0) & (F.col("expires_at") <= SHIP_NOW)
+    runs = src.shipments(spark, sf_dir).groupBy("entity_id").agg(F.count_if(gone).alias("removed"), F.coalesce(F.sum(F.when(gone, F.col("frequency"))), F.lit(0)).alias("bytes_saved"), F.count("*").cast("double").alias("ms"))
+    return compaction.run_stats(runs).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query(f"""WITH {_EVENTS}, ve AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN entity_id || '_v2' ELSE entity_id END AS id FROM (SELECT ev.*, user_id FROM ev JOIN events ON n = events.event_id))
+SELECT CASE WHEN e.user_id % 3 = 0 OR o.user_id % 3 = 0 THEN 'VERSION_MUTATION' ELSE {_TYPE} END AS rel_type, count(*) AS n
+FROM ve e JOIN ve o ON o.ts_ms BETWEEN e.ts_ms - 642014 AND e.ts_ms AND e.id <> o.id AND e.event_id <> o.event_id WHERE {_SIM} >= 0.7 GROUP BY 1""")
+def infer_versions(spark, sf_dir):
+    """Types of temporal relationships where a third of the users have versioned ids."""
+    number = F.substring_index("entity_id", ":", -1).cast("long")
+    ids = F.when(number % 3 == 0, F.concat("entity_id", F.lit("_v2"))).otherwise(F.col("entity_id"))
+    return inference.temporal(src.events(spark, sf_dir).withColumn("entity_id", ids)).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_EVENTS}, no AS (SELECT entity_id FROM ev WHERE n % 5 <> 0 AND n % 7 <> 0 GROUP BY 1), re AS (SELECT CASE WHEN n % 50 = 0 THEN 5 WHEN n % 3 = 0 THEN 1 ELSE 0 END AS r, entity_id FROM ev WHERE n % 5 <> 0 AND n % 7 <> 0)
+SELECT (SELECT count(*) FROM no) AS nodes, sum(r)::BIGINT AS total, sum(r)::BIGINT AS active, count(DISTINCT entity_id) FILTER (r > 0) AS entities, 0::BIGINT AS inferred FROM re""")
+def engine_ingest(spark, sf_dir):
+    """The engine object after it took in all events but the spoiled ones."""
+    none = spark.createDataFrame([], NODE), spark.createDataFrame([], RELATIONSHIP)
+    engine = Engine(*none).ingest(_spoiled(spark, sf_dir))
+    nodes = engine.nodes.agg(F.count("*").alias("nodes"))
+    return engine.stats(AS_OF).select("total", "active", "entities", "inferred").join(nodes)
