@@ -118,6 +118,34 @@ def test_suffix_dedup_of_hot_anchors(docs, rows, monkeypatch):
     assert got == brute.repeats([(d, t) for d, t, _ in rows])
 
 
+@pytest.mark.parametrize("hot", [1, 5, 50])
+def test_suffix_dedup_of_one_anchor_in_many_segments(spark, monkeypatch, hot):
+    """A passage of 300 bytes in 80 texts: with what is around it, some strings of 400 bytes are equal by what stands before, some by what follows."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r, middle = random.Random(3), "".join(random.Random(4).choice("abcdefgh") for _ in range(300))
+    say = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    before, after = [say(150) for _ in range(4)], [say(150) for _ in range(4)]
+    texts = [say(r.randrange(200)) + r.choice([say(150), *before, before[0][-60:], before[1][-99:]]) + middle + r.choice([say(150), *after, after[0][:41], after[1][:99]]) + say(r.randrange(200)) for _ in range(80)]
+    docs = list(enumerate(texts))
+    got = sorted(tuple(x) for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    assert got == brute.repeats(docs) and sum(x[2] for x in got) > 5000
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts of several pieces of a mebibyte, equal in stretches that cross the pieces' ends; checked on the bytes."""
+    rng = np.random.default_rng(6)
+    own = [bytes(rng.integers(97, 123, 1_300_000, dtype=np.uint8)) for _ in range(2)]
+    shared = bytes(rng.integers(97, 123, 5000, dtype=np.uint8))
+    texts = [own[0][:1_046_000] + shared + own[0][1_046_000:], shared[:399] + own[1][:1_048_000] + shared[1000:] + own[1][1_048_000:] + shared[100:499]]
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string"), with_bytes=True).collect()}
+    assert got[0] == (4000, 1, texts[0].replace(shared[1000:], b""))
+    assert got[1] == (4000, 1, texts[1].replace(shared[1000:], b""))
+    again = suffix_dedup.remove_repeats(spark.createDataFrame([(0, texts[0].decode()), (1, shared[100:500].decode())], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in again) == [(0, 400), (1, 400)]
+
+
 def test_suffix_dedup_in_pieces(docs, rows, monkeypatch):
     out = []
     for start in range(0, 600, 100):

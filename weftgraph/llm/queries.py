@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import bpe, fingerprints, line_dedup, mixing, order_minhash, quality, suffix_dedup, token_histogram, training_order, warc_revisit
-from weftgraph.llm.shared import materialize, shared_root
+from weftgraph.llm.shared import materialize
+from weftgraph.plans.lineage import fresh_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,7 +59,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, end = public_tokenizers.path(VOCABULARY), max(bpe.read_ranks(public_tokenizers.path(VOCABULARY)).values()) + 1
     ids = materialize(bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids")
     ordered, places = (training_order.training_order(ids, ids="ids", end=end, pad=end + 1, records=x) for x in (True, False))
-    shards = f"{shared_root(spark)}/training-shards-{uuid.uuid4().hex}"
+    shards = fresh_path(spark, "training-shards")
     training_order.write_shards(ordered, shards)
     return places.join(training_order.read_from(spark, shards, 0), "slot").select(*ordered.columns)
 

@@ -7,6 +7,10 @@ sorting their suffixes behind the anchor, and the reversed prefixes before it: p
 search give the common extension of two suffixes in logarithmically many steps, mergesort puts all anchors' suffixes in
 order at once, and neighbours are then verified byte by byte. The extensions shared with neighbours tell, for each
 offset, the classes of equal prefixes and of equal suffixes; two strings are equal if both their classes are.
+
+An anchor with too many different segments for one task is cut into ranges of suffixes: strings whose anchor lies within
+some range of places share what is before and behind in all of that range, so they fall into groups by these bytes. The
+range is halved until the groups are small; each is sorted as any other.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from weftgraph.llm.shared import materialize
 from weftgraph.llm.textvec import _BYTE, mix, powers
 
 LENGTH, GRAM = 400, 64
-#: Text bytes worked on at once, segment bytes sorted at once, and different segments of an anchor up to which one task sorts them.
-PIECE, SORTED, HOT = 1 << 20, 1 << 21, 4096
+#: Text bytes worked on at once, segment bytes sorted at once, different segments of a group that one task sorts, rows of a batch.
+PIECE, SORTED, HOT, ROWS = 1 << 20, 1 << 21, 4096, 1 << 14
 _u = np.uint64
 
 
@@ -192,62 +196,89 @@ def repeated_offsets(group: np.ndarray, strings: list[bytes], before: np.ndarray
     return out
 
 
+def _batched(rows: Iterator[list[tuple]], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ROWS rows from lists of rows."""
+    held: list[tuple] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+    for some in rows:
+        held += some
+        if len(held) >= ROWS:
+            yield made()
+            held = []
+    if held:
+        yield made()
+
+
 def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, text_id, anchor, segment, first, size, before) for each segment of each text; segment is its bytes' digest."""
+    """(text_id, anchor, segment, first, size, before) for each segment of each text; segment is its bytes' digest."""
+    names = ["text_id", "anchor", "segment", "first", "size", "before"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+
+    def rows(texts: Iterator[pa.Scalar]) -> Iterator[list[tuple]]:
+        for text in texts:
+            raw = (text.as_py() or "").encode()
+            if len(raw) < length:
+                continue
+            text_id = hashlib.sha256(raw).digest()[:16]
+            for start in range(0, len(raw) - length + 1, PIECE):
+                data = raw[start : start + PIECE + length - 1]
+                found = [x.tolist() for x in segments(np.frombuffer(data, np.uint8), length, gram)]
+                yield [
+                    (text_id, anchor, piece_digest(data[f : t + length], place - f), f + start, t - f + length, place - f)
+                    for anchor, place, f, t in zip(*found, strict=True)
+                ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                text_id = hashlib.sha256(raw).digest()[:16]
-                for start in range(0, max(1, len(raw) - length + 1), PIECE):
-                    data = raw[start : start + PIECE + length - 1]
-                    anchor, place, first, last = segments(np.frombuffer(data, np.uint8), length, gram)
-                    if len(anchor):
-                        digest = [hashlib.blake2b(data[f : t + length], digest_size=16, salt=p.to_bytes(8, "little")).digest() for f, t, p in zip(first.tolist(), last.tolist(), (place - first).tolist(), strict=True)]
-                        columns = [anchor, digest, first + start, last - first + length, place - first]
-                        n = len(anchor)
-                        yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * n, batch.schema.field(0).type), pa.array([text_id] * n, pa.binary()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "text_id", "anchor", "segment", "first", "size", "before"])
+        yield from _batched(rows(t for batch in batches for t in batch.column(0)), kinds, names)
+
+    return docs.select("text").mapInArrow(run, "text_id binary, anchor long, segment binary, first long, size int, before int")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id binary, anchor long, segment binary, first long, size int, before int")
+def piece_digest(data: bytes, before: int) -> bytes:
+    """Tells apart pieces of text that differ in their bytes or in the place of the anchor."""
+    return hashlib.blake2b(data, digest_size=16, salt=before.to_bytes(8, "little")).digest()
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted with the bytes of each segment, from one document that holds it."""
-    per_text = wanted.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "segment", "first", "size", "before")).alias("parts"))
+    per_text = wanted.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "segment", "first", "size", "before", "kinds")).alias("parts"))
     text = F.coalesce("text", F.lit(""))
     bodies = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("text_id"), text.alias("text"))
     # Copies go where they are read already, so a large group of them doesn't meet in one task.
     joined = bodies.groupBy("text_id").agg(F.first("text").alias("text")).join(per_text, "text_id").select("text", "parts")
+    names, kinds = ["anchor", "segment", "before", "kinds", "bytes"], [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
             for text, parts in zip(batch.column(0), batch.column(1), strict=True):
                 raw, parts = text.as_py().encode(), parts.as_py()
                 for at in range(0, len(parts), 4096):
-                    rows = parts[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([p["anchor"] for p in rows]), pa.array([p["segment"] for p in rows], pa.binary()), pa.array([p["before"] for p in rows], pa.int32()), pa.array([raw[p["first"] : p["first"] + p["size"]] for p in rows], pa.binary())], names=["anchor", "segment", "before", "bytes"])
+                    yield [(p["anchor"], p["segment"], p["before"], p["kinds"], raw[p["first"] : p["first"] + p["size"]]) for p in parts[at : at + 4096]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(rows(batches), kinds, names)
 
-    return joined.mapInArrow(run, "anchor long, segment binary, before int, bytes binary")
+    return joined.mapInArrow(run, "anchor long, segment binary, before int, kinds long, bytes binary")
 
 
-_RANGES = "anchor long, segment binary, ranges array<struct<a:int,b:int>>"
+_RANGES = "group long, piece binary, ranges array<struct<a:int,b:int>>"
 _RANGE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _sorted_ranges(strings: DataFrame, length: int) -> DataFrame:
-    """(anchor, segment, ranges): repeated starts of each segment, from sorting each anchor's segments in one task."""
+    """(group, piece, ranges): repeated starts of each piece, from sorting the different pieces (group, piece, before, bytes) of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def solved(rows: list[tuple]) -> pa.RecordBatch:
-            anchors = np.array([r[0] for r in rows])
-            found = repeated_offsets(np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]])), [r[3] for r in rows], np.array([r[2] for r in rows], np.int64), length)
+            groups = np.array([r[0] for r in rows])
+            numbers = np.cumsum(np.concatenate([[0], groups[1:] != groups[:-1]]))
+            found = repeated_offsets(numbers, [r[3] for r in rows], np.array([r[2] for r in rows], np.int64), length)
             some = [k for k, f in enumerate(found) if f]
-            return pa.RecordBatch.from_arrays([pa.array(anchors[some], pa.int64()), pa.array([rows[k][1] for k in some], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in merged(found[k])] for k in some], _RANGE)], names=["anchor", "segment", "ranges"])
+            ranges = pa.array([[{"a": a, "b": b} for a, b in merged(found[k])] for k in some], _RANGE)
+            return pa.RecordBatch.from_arrays([pa.array(groups[some], pa.int64()), pa.array([rows[k][1] for k in some], pa.binary()), ranges], names=["group", "piece", "ranges"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -259,7 +290,7 @@ def _sorted_ranges(strings: DataFrame, length: int) -> DataFrame:
         if held:
             yield solved(held)
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(run, _RANGES)
+    return strings.select("group", "piece", "before", "bytes").repartition("group").sortWithinPartitions("group", "piece").mapInArrow(run, _RANGES)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -272,23 +303,53 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _counted_ranges(strings: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of more than HOT different segments: strings are counted one by one, by digest.
+def _halved(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece (anchor, segment, shift, lo, hi, before, bytes) cut in two by the range lo to hi of bytes before the anchor.
 
-    Counting adds up where the rows are before it shuffles, so no key gathers in one task however many segments share it.
+    A string whose anchor lies a to b bytes behind its start holds the a bytes before the anchor and the length - b from
+    it on. These bytes make its group; what one piece adds to others of a group lies beyond them. shift: where the
+    piece starts in its segment.
     """
+    names = ["anchor", "segment", "shift", "lo", "hi", "before", "bytes", "group", "piece"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
-            for anchor, segment, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digests = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(len(data) - length + 1)]
-                n = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([segment] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], names=["anchor", "segment", "start", "digest"])
+            for anchor, segment, shift, lo, hi, before, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                middle, made = (lo + hi) // 2, []
+                for a, b in ((lo, middle), (middle + 1, hi)):
+                    x, y = max(a, before - len(data) + length), min(b, before)
+                    if x <= y:
+                        shared = hashlib.blake2b(data[before - a : before + length - b], digest_size=8, salt=(anchor % (1 << 64)).to_bytes(8, "little"), person=a.to_bytes(4, "little") + b.to_bytes(4, "little"))
+                        own = data[before - y : before - x + length]
+                        made.append((anchor, segment, shift + before - y, a, b, y, own, int.from_bytes(shared.digest(), "little", signed=True), piece_digest(own, y)))
+                yield made
 
-    each = strings.mapInArrow(run, "anchor long, segment binary, start int, digest binary")
-    twice = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    starts = each.join(twice, "digest").groupBy("anchor", "segment").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("start").alias("b"))).alias("ranges"))
-    return starts.select("anchor", "segment", "ranges")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(rows(batches), kinds, names)
+
+    schema = "anchor long, segment binary, shift int, lo int, hi int, before int, bytes binary, group long, piece binary"
+    return pieces.select("anchor", "segment", "shift", "lo", "hi", "before", "bytes").mapInArrow(run, schema)
+
+
+def _hot_ranges(strings: DataFrame, length: int, gram: int) -> DataFrame | None:
+    """(anchor, segment, ranges) for anchors of more than HOT different segments, or None if there are none."""
+    pieces = materialize(strings.where(F.col("kinds") > HOT).select("anchor", "segment", F.lit(0).alias("shift"), F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"), "before", "bytes"), "suffix-hot")
+    out = None
+    while not pieces.isEmpty():
+        pieces = materialize(_halved(pieces, length), "suffix-pieces")
+        different = pieces.groupBy("group", "piece").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("bytes").alias("bytes"))
+        different = materialize(different, "suffix-kinds")
+        kinds = materialize(different.groupBy("group").agg(F.count("*").alias("kinds")), "suffix-groups")
+        of = different.join(kinds, "group")
+        # A piece that several segments hold is repeated all over; different pieces of a group are sorted.
+        whole = of.where("n > 1").select("group", "piece", F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("bytes") - length).alias("b"))).alias("ranges"))
+        found = materialize(_sorted_ranges(of.where(f"kinds between 2 and {HOT}"), length).unionByName(whole), "suffix-found")
+        moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b")))
+        ranges = pieces.join(found, ["group", "piece"]).select("anchor", "segment", moved.alias("ranges"))
+        out = ranges if out is None else out.unionByName(ranges)
+        pieces = pieces.join(kinds.where(F.col("kinds") > HOT), "group", "left_semi")
+    return None if out is None else out.groupBy("anchor", "segment").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
@@ -304,8 +365,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     different = materialize(different.join(by_anchor, "anchor"), "suffix-different")
     wanted = different.where("kinds > 1").select("anchor", "segment", "kinds", "at.*")
     strings = materialize(_cut_out(docs, wanted), "suffix-strings")
-    hot = materialize(different.where(f"kinds > {HOT}").select("anchor").distinct(), "suffix-hot")
-    ranges = _sorted_ranges(strings.join(hot, "anchor", "left_anti"), length).unionByName(_counted_ranges(strings.join(hot, "anchor", "left_semi"), length))
+    small = strings.where(F.col("kinds") <= HOT).select(F.col("anchor").alias("group"), F.col("segment").alias("piece"), "before", "bytes")
+    ranges = _sorted_ranges(small, length).withColumnsRenamed({"group": "anchor", "piece": "segment"})
+    if (hot := _hot_ranges(strings, length, gram)) is not None:
+        ranges = ranges.unionByName(hot)
     whole = different.where("n > 1").select("anchor", "segment", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.size") - length).alias("b"))).alias("ranges"))
     ranges = ranges.join(whole.select("anchor", "segment"), ["anchor", "segment"], "left_anti").unionByName(whole)
     spans = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] + length).alias("b")))
