@@ -253,8 +253,36 @@ def test_token_histogram(docs, rows, library):
 def test_histogram_answers_any_limit(spark):
     lengths = [0, 3, 3, 10, 2000]
     h = token_histogram.length_histogram(spark.createDataFrame([(n,) for n in lengths], "n_tokens long"))
-    for r in token_histogram.answer(h, spark.createDataFrame([(5,), (0,), (3000,)], "context_limit long")).collect():
-        assert (r.docs_upto, r.truncated_tokens) == (sum(n <= r.context_limit for n in lengths), sum(min(n, r.context_limit) for n in lengths))
+    limits = [5, 0, 3000, 3, 1999, 5, None, -1]
+    out = token_histogram.answer(h, spark.createDataFrame([(n,) for n in limits], "context_limit long")).collect()
+    assert sorted(r.context_limit for r in out) == [-1, 0, 3, 5, 1999, 3000]
+    for r in out:
+        fit = [n for n in lengths if n <= r.context_limit]
+        assert (r.docs_upto, r.docs_over, r.tokens_upto) == (len(fit), 5 - len(fit), sum(fit))
+        assert r.truncated_tokens == sum(min(n, r.context_limit) for n in lengths)
+    shares = {r.share: r.length for r in token_histogram.lengths_at(h, (0.2, 0.21, 0.6, 0.8, 0.81, 1.0)).collect()}
+    assert shares == {0.2: 0, 0.21: 3, 0.6: 3, 0.8: 10, 0.81: 2000, 1.0: 2000}
+
+
+def test_histogram_of_odd_lengths(spark):
+    """Null counts as 0 tokens, other columns are not read, no rows give no row and answers of 0."""
+    df = spark.createDataFrame([(None, "x"), (0, "x"), (4, None)], "n_tokens long, block string").withColumns({c: F.lit("x") for c in CLASHING})
+    assert [(r.context_limit, r.n_docs) for r in token_histogram.length_histogram(df).orderBy("context_limit").collect()] == [(0, 2), (4, 1)]
+    none = token_histogram.length_histogram(df.limit(0))
+    assert none.count() == 0
+    assert [tuple(r) for r in token_histogram.answer(none, spark.createDataFrame([(7,)], "context_limit long")).collect()] == [(7, 0, 0, 0, 0)]
+    assert [r.length for r in token_histogram.lengths_at(none, (0.5,)).collect()] == [None]
+
+
+def test_revisits_of_odd_records(spark):
+    """Nulls in any column, repeated records, no records, and columns named as the operator's own."""
+    kind = "record_id long, url string, ts long, status int, etag string, last_modified long, headers map<string,string>, body string"
+    rows = [(None,) * 8, (1, None, 1, 304, None, None, None, None), (2, "http://a/", None, 304, None, None, None, None), (3, "http://a/", 5, 200, None, None, None, None), (3, "http://a/", 5, 200, None, None, None, None)]
+    rows += [(4, "http://a", 9, 304, None, None, None, None)] * 2 + [(5, "", 9, 304, '"x"', 3, {"age": None}, "b" * 300_000), (6, "http://a", 9, None, None, None, {}, "")]
+    df = spark.createDataFrame(rows, kind).withColumns({c: F.lit("x") for c in (*CLASHING, "canonical", "found", "_block", "_latest", "_within", "digest", "outcome")})
+    got = sorted((r.record_id, r.outcome, r.refers_to) for r in warc_revisit.resolve_revisits(df).collect())
+    assert got == [(1, "missing", None), (2, "missing", None), (4, "resolved", 3), (4, "resolved", 3), (5, "missing", None)]
+    assert warc_revisit.resolve_revisits(df.limit(0)).count() == 0
 
 
 def test_near_duplicates(docs, rows):
@@ -416,8 +444,8 @@ def test_training_order_query_writes_shards_of_token_ids(spark, docs, rows, libr
     stored = {r.slot: bytes(r.record) for r in training_order.read_from(spark, written[0], 0).collect()}
     by = defaultdict(dict)
     for r in out:
-        assert stored[r.slot] == bytes(r.record) and (r.shard, r.byte_offset) == (0, r.slot * 2049)
-        ids = np.frombuffer(bytes(r.record), "<u2")
+        assert hashlib.sha256(stored[r.slot]).hexdigest() == r.record_sha256 and (r.shard, r.byte_offset) == (0, r.slot * 2049)
+        ids = np.frombuffer(stored[r.slot], "<u2")
         assert len(ids) == 1024 and (ids[r.n_tokens :] == 50257).all()
         by[r.doc_id][r.seq_no] = ids[: r.n_tokens]
     for d, t, _ in rows:
@@ -454,6 +482,20 @@ def test_bpe_as_the_library(text):
     assert coder.encode(text) == ids and coder.encode_said(text) == ",".join(map(str, ids)) and coder.decode(ids) == text.encode()
 
 
+def test_bpe_of_letters_that_the_library_does_not_know(library):
+    """Each letter and number of newer Unicode versions, and those around, between letters, numbers and spaces."""
+    coder = bpe.coder(PATH, PATTERN)
+    points = sorted({p for a, b in bpe.NEWER for p in [a - 1, b + 1, *range(a, min(b, a + 400) + 1), *range(max(a, b - 80), b + 1)]})
+    texts = [f"{x}{chr(p)}{y}" for p in points for x, y in (("a", "a"), ("1", "2"), (" ", " b"), ("é", "\n"))]
+    assert [t for t, ids in zip(texts, library.encode_ordinary_batch(texts, num_threads=4)) if coder.encode(t) != ids] == []
+    # This vocabulary joins a letter and the first byte of these, so it tells whether they are of one match.
+    toy = {bytes([i]): i for i in range(256)} | {bytes([x, b]): 256 + 128 * k + b - 128 for k, x in enumerate(b"a1") for b in range(128, 256)}
+    own, theirs = bpe.TreeBPE(toy, PATTERN), tiktoken.Encoding("toy", pat_str=PATTERN, mergeable_ranks=toy, special_tokens={})
+    for lead in "a1":
+        texts = [lead + chr(p) for p in points if p > 127]
+        assert [own.encode(t) for t in texts] == theirs.encode_ordinary_batch(texts, num_threads=4)
+
+
 @pytest.mark.parametrize("text", ["a" * 5000, "abcdeé" * 900, "thanhe" * 800])
 def test_bpe_of_long_pieces(text, library):
     assert bpe.coder(PATH, PATTERN).encode(text) == library.encode_ordinary(text)
@@ -463,6 +505,8 @@ ODD = [(1, None, None), (2, "", "a"), (3, "same text " * 60, "a"), (3, "same tex
 OPERATORS = {
     "fingerprints": fingerprints.edit_fingerprints, "suffix": suffix_dedup.remove_repeats, "lines": line_dedup.dedup_lines, "near": order_minhash.near_duplicates, "classes": fingerprints.near_classes, "quality": quality.judge_documents,
     "mixing": mixing.mix_sources, "order": training_order.training_order, "bpe": lambda d: bpe.code_digests(d, PATH, PATTERN),
+    "ids": lambda d: bpe.decode_documents(bpe.encode_documents(d, PATH, PATTERN), PATH, PATTERN), "packed": lambda d: training_order.packed_ids(d, PATH, PATTERN),
+    "lengths": lambda d: token_histogram.token_lengths(d, PATH, PATTERN),
 }
 CLASHING = ("size", "bucket", "k", "s", "start", "block", "target", "h", "b", "ids", "root", "text_id", "kept", "n", "lost", "spans", "part", "first", "anchor", "line")
 

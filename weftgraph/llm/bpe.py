@@ -16,14 +16,28 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from weftgraph.llm.shared import slices
 
 #: Entries after which a table of known encodings starts anew; bounds a worker's memory, never the result.
-KEPT = 200_000
+KEPT = 160_000
 _NONE = 1 << 60
 _ENDS = frozenset(".,;:!?")
+#: Letters and numbers, first and last, that Unicode added after version 16. The library, whose tables are of
+#: that version, takes them for signs; `regex` has newer tables.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,7 +51,7 @@ class TreeBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
         self.ranks, self.kept = ranks, kept
-        self.split = regex.compile(pattern).findall
+        self.matches = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.halves: dict[bytes, list[int]] = {}
         self.seams: dict[tuple[int, int], list[int]] = {}
@@ -46,6 +60,13 @@ class TreeBPE:
         self.ends = {c: str(ranks[c.encode()]) for c in _ENDS}
         self.said = {str(i): b for i, b in self.bytes_of.items()}
 
+    def split(self, text: str) -> list[str]:
+        """The pattern's matches, by the classes of the library's version of Unicode."""
+        if text.isascii() or not _NEWER.search(text):
+            return self.matches.findall(text)
+        # A sign for private use stands for what that version doesn't know, as long as matches are sought.
+        return [text[m.start() : m.end()] for m in self.matches.finditer(_NEWER.sub("\U0010FFFD", text))]
+
     def merged(self, data: bytes) -> list[int]:
         """BPE of some bytes by its definition: merge the leftmost pair of least rank until none is left."""
         if len(data) > 64:
@@ -188,6 +209,16 @@ def coder(path: str, pattern: str) -> TreeBPE:
     return _coders[path, pattern]
 
 
+_libraries: dict[tuple[str, str], tiktoken.Encoding] = {}
+
+
+def library(path: str, pattern: str) -> tiktoken.Encoding:
+    """The library's coder, one for each vocabulary and worker: for operators that need ids but not how they are made."""
+    if (path, pattern) not in _libraries:
+        _libraries[path, pattern] = tiktoken.Encoding("of a file", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    return _libraries[path, pattern]
+
+
 def _over_texts(path: str, pattern: str, row: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)

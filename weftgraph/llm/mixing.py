@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.shared import materialize
 
 GOLDEN = 0.6180339887498949
-#: Slots whose points are found together, ranges of the shuffled order, cells of the line of shares.
+#: Slots whose points are found together, ranges of the shuffled order, least number of cells of the line of shares.
 SLOTS, BUCKETS, CELLS = 1 << 20, 4096, 1024
 
 
@@ -50,7 +50,9 @@ def shuffled_offsets(sized: DataFrame, seed: int = 7) -> DataFrame:
     sums = rows.groupBy("s", "b").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("s", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Of equal ids, rows follow each other by size and then by what is kept of them.
+    ties = ["h", "doc_id", "size", *(["kept"] if "kept" in rows.columns else [])]
+    inside = Window.partitionBy("s", "b").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(sums, ["s", "b"]).withColumn("start", F.col("base") + F.col("within")).drop("h", "b", "base", "within")
 
@@ -62,24 +64,25 @@ def schedule(targets: DataFrame, total: int) -> DataFrame:
     the digits that tell small sources apart when i is large.
     """
     spark = targets.sparkSession
+    n_cells = max(CELLS, targets.count())  # so a cell has about one source, however many there are
     order = Window.orderBy("s")
     upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
     below = F.coalesce(F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     whole = F.sum("target").over(Window.partitionBy(F.lit(0)))
     line = targets.where("target > 0").select("s", (below / whole).alias("lo"), F.when(upto == whole, F.lit(2.0)).otherwise(upto / whole).alias("hi"))
-    cells = F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))
+    cells = F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1)))
     line = line.select("s", "lo", "hi", F.explode(cells).alias("cell"))
     part = lambda x: x - F.floor(x)
     point = part(F.expr(f"id div {SLOTS}") * F.lit(SLOTS * GOLDEN % 1)) + part(F.expr(f"id % {SLOTS}") * F.lit(GOLDEN))
-    slots = spark.range(0, total, 1, max(1, -(-total // SLOTS))).select(F.col("id").alias("slot"), part(point).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    slots = spark.range(0, total, 1, max(1, -(-total // SLOTS))).select(F.col("id").alias("slot"), part(point).alias("u")).withColumn("cell", F.floor(F.col("u") * n_cells))
     return slots.join(line, "cell").where("u >= lo and u < hi").select("slot", "s")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` (small ones, such as ids) of every row, and size, source_size, target and taken: the words the mix takes, repeats counted.
+    """The columns `keep` (small ones that can be put in order, such as ids) of every row, and size, source_size, target and taken: the words the mix takes, repeats counted.
 
     Documents without words take nothing. A source's slots end when all of its words were taken `most` times. Rows
-    that are alike in all columns get interchangeable results; null ids are ordinary ids. Empty tables give no rows.
+    that are alike in doc_id, source, size and `keep` get interchangeable results; null ids are ordinary ids. Empty tables give no rows.
     """
     sized = materialize(docs.select(F.struct(*keep).alias("kept"), "doc_id", "source", word_count("text").alias("size")), "mixing-sizes")
     total = sized.agg(F.sum("size")).first()[0] or 0

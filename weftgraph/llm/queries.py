@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, fingerprints, line_dedup, mixing, order_minhash, quality, suffix_dedup, token_histogram, training_order, warc_revisit
 from weftgraph.llm.shared import materialize
@@ -52,28 +53,39 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of training_order() over the vocabulary's token ids; each record as read again from the written shards.
+    """The places of all sequences of the vocabulary's token ids, and the digest of each record as read again from the written shards.
 
     The ids after the vocabulary's last one end a document and fill up its last sequence.
     """
     path, end = public_tokenizers.path(VOCABULARY), max(bpe.read_ranks(public_tokenizers.path(VOCABULARY)).values()) + 1
-    ids = materialize(bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids")
+    ids = materialize(training_order.packed_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids")
     ordered, places = (training_order.training_order(ids, ids="ids", end=end, pad=end + 1, records=x) for x in (True, False))
     shards = fresh_path(spark, "training-shards")
     training_order.write_shards(ordered, shards)
-    return places.join(training_order.read_from(spark, shards, 0), "slot").select(*ordered.columns)
+    records = training_order.read_from(spark, shards, 0, ordered=False).select("slot", F.sha2("record", 256).alias("record_sha256"))
+    return places.join(records, "slot")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5's histogram says of context limits by powers of two, and of the shares of documents they hold."""
+    lengths = token_histogram.token_lengths(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    histogram = materialize(token_histogram.length_histogram(lengths), "token-histogram")
+    limits = spark.range(4, 21).select(F.expr("shiftleft(1L, int(id))").alias("context_limit"))
+    rows = token_histogram.answer(histogram, limits).withColumns({"share": F.lit(None).cast("double"), "length": F.lit(None).cast("long")})
+    shares = token_histogram.lengths_at(histogram, (0.1, 0.5, 0.9, 0.99, 1.0))
+    return rows.unionByName(shares, allowMissingColumns=True)
+
+
 def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The band join of op1's fingerprints with verified Jaccard similarities, as a class of each document."""
     return fingerprints.near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_warc_revisit, op4_line_dedup, op5_token_histogram, op6_order_minhash, op7_quality, op8_mixing, op9_training_order, op10_bpe, fingerprint_classes)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_warc_revisit, op4_line_dedup, op5_token_histogram, op6_order_minhash, op7_quality, op8_mixing, op9_training_order, op10_bpe, fingerprint_classes, token_limits)}
 
 #: The steps of canonical_url() in DuckDB's writing.
 _CANONICAL = "lower(trim(url))"

@@ -8,19 +8,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.bpe import coder
+from weftgraph.llm.bpe import library
 from weftgraph.llm.shared import materialize, slices
+from weftgraph.llm.warc_revisit import as_of
 
 
 def token_lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(n_tokens) of each document's whole text; a null or empty text has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
+        encode = library(path, pattern).encode_to_numpy
         for batch in batches:
             for part in slices(batch, "text"):
-                said = (bpe.encode_said(t or "") for t in part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([s.count(",") + 1 if s else 0 for s in said], pa.int64())], names=["n_tokens"])
+                sizes = [len(encode(t, disallowed_special=())) if t else 0 for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(run, "n_tokens long")
 
@@ -55,11 +56,23 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def answer(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each row of limits (context_limit): documents, tokens and truncated tokens at limits that no document has, too."""
-    h = histogram.select(F.col("context_limit").alias("at"), "docs_upto", "docs_over", "tokens_upto")
-    first = h.agg(F.max_by(F.col("docs_upto") + F.col("docs_over"), "at").alias("all_docs"))
-    below = limits.select("context_limit").distinct().join(h, F.col("at") <= F.col("context_limit"), "left")
-    best = below.groupBy("context_limit").agg(F.max_by(F.struct("docs_upto", "docs_over", "tokens_upto"), "at").alias("b")).join(F.broadcast(first))
-    docs, over = F.coalesce("b.docs_upto", F.lit(0)), F.coalesce("b.docs_over", "all_docs", F.lit(0))
-    tokens = F.coalesce("b.tokens_upto", F.lit(0))
-    return best.select("context_limit", docs.alias("docs_upto"), over.alias("docs_over"), tokens.alias("tokens_upto"), (tokens + over * F.col("context_limit")).alias("truncated_tokens"))
+    """For each different context_limit of limits, also such that no document has: context_limit, docs_upto, docs_over,
+    tokens_upto, truncated_tokens. A null limit has no answer; of no documents, all figures are 0.
+
+    The latest length up to each limit is found by an as-of join over blocks of lengths.
+    """
+    figures = F.struct("docs_upto", "docs_over", "tokens_upto")
+    known = histogram.select(F.col("context_limit").cast("long").alias("at"), F.lit(0).alias("asked"), figures.alias("figures"))
+    asked = limits.where(F.col("context_limit").isNotNull()).select(F.col("context_limit").cast("long").alias("at")).distinct().withColumn("asked", F.lit(1)).withColumn("figures", F.lit(None).cast(known.schema["figures"].dataType))
+    met = as_of(known.unionByName(asked), [], "at", "asked", F.col("figures"), F.col("asked") == 0).where("asked = 1")
+    everything = histogram.agg(F.coalesce(F.max(F.col("docs_upto") + F.col("docs_over")), F.lit(0)).alias("all_docs"))
+    met = met.crossJoin(F.broadcast(everything))  # of one row
+    over, tokens = F.coalesce("found.docs_over", "all_docs"), F.coalesce("found.tokens_upto", F.lit(0))
+    return met.select(F.col("at").alias("context_limit"), F.coalesce("found.docs_upto", F.lit(0)).alias("docs_upto"), over.alias("docs_over"), tokens.alias("tokens_upto"), (tokens + over * F.col("at")).alias("truncated_tokens"))
+
+
+def lengths_at(histogram: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(share, length): the least length that at least so large a share of the documents doesn't exceed; null of no documents."""
+    found = histogram.agg(*(F.min(F.when(F.col("quantile") >= share, F.col("context_limit"))).alias(f"q{k}") for k, share in enumerate(shares)))
+    rows = F.array(*(F.struct(F.lit(share).cast("double").alias("share"), F.col(f"q{k}").alias("length")) for k, share in enumerate(shares)))
+    return found.select(F.explode(rows).alias("r")).select("r.*")

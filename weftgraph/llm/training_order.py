@@ -9,12 +9,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.bpe import library
 from weftgraph.llm.shared import materialize, partitions, slices
 from weftgraph.llm.textvec import mix
 
 #: Token ids of UTF-8 bytes are the bytes; then the end of a document, and what fills up its last sequence.
 END, PAD = 256, 257
-BUCKETS = 4096
+#: Rows of a range of the numbering, which a task puts in order, and the most ranges; larger ranges spill.
+RANGE_ROWS, RANGES = 4096, 1 << 16
+
+
+def packed_ids(docs: DataFrame, path: str, pattern: str, width: int = 2) -> DataFrame:
+    """(doc_id, ids) of each row: its whole text's token ids as little-endian values of `width` bytes; null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kind = library(path, pattern).encode_to_numpy, np.dtype(f"<u{width}")
+        if max(library(path, pattern)._mergeable_ranks.values()) >> 8 * width:
+            raise ValueError(f"the vocabulary's ids don't fit in {width} bytes")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = [encode(t, disallowed_special=()).astype(kind).tobytes() if t else b"" for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -36,8 +53,8 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
 def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, ids: str | None = None, width: int = 2, end: int = END, pad: int = PAD, records: bool = True) -> DataFrame:
     """One row for each sequence of `length` tokens: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record.
 
-    Each row of docs is its text's UTF-8 bytes, or the token ids in its array column `ids` (those of encode_documents(),
-    say), and `end` (null: `end` alone), cut into sequences, the last filled with `pad`. Sequences are numbered in the
+    Each row of docs is its text's UTF-8 bytes, or the token ids in its column `ids` (an array, such as encode_documents()
+    makes, or the bytes of packed_ids() of the same width), and `end` (null: `end` alone), cut into sequences, the last filled with `pad`. Sequences are numbered in the
     order of a hash of doc_id; the keyed permutation of the numbers gives the slots 0 to N-1, each once. record: the ids
     as little-endian values of `width` bytes; an id that doesn't fit fails the job. n_tokens: without `pad`. A record
     stands at byte_offset of its shard of shard_rows records, each followed by one byte. Rows come in partitions of
@@ -47,9 +64,15 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
     spark, unit, kind = docs.sparkSession, 1 if ids is None else width, np.dtype(f"<u{width}")
     if max(end, pad) >> 8 * width:
         raise ValueError(f"end {end} and pad {pad} don't fit in {width} bytes")
-    data = F.coalesce("text", F.lit("")) if ids is None else F.coalesce(F.col(ids), F.array().cast(docs.schema[ids].dataType))
-    size = F.octet_length("text") if ids is None else F.size("text")
-    rows = docs.select("doc_id", data.alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    packed = ids is not None and docs.schema[ids].dataType.simpleString() == "binary"
+    if ids is None:
+        data, size = F.coalesce("text", F.lit("")), F.octet_length("text")
+    elif packed:
+        data, size = F.coalesce(F.col(ids), F.lit(b"")), F.octet_length("text") / width
+    else:
+        data, size = F.coalesce(F.col(ids), F.array().cast(docs.schema[ids].dataType)), F.size("text")
+    ranges = max(1, min(RANGES, -(-docs.count() // RANGE_ROWS)))
+    rows = docs.select("doc_id", data.alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(ranges)))
     rows = rows.withColumn("size", size.cast("long")).withColumn("n_seq", F.floor((F.col("size") + length) / length).cast("long")).withColumn("tie", F.xxhash64("text"))
     sums = materialize(rows.groupBy("b").agg(F.sum("n_seq").alias("n")), "training-order")
     n = sums.agg(F.sum("n")).first()[0] or 0
@@ -69,7 +92,7 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
                 raw, ends = wide.astype(kind).tobytes(), np.cumsum([0, *np.asarray(some.column(0).value_lengths())]) * width
                 yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), *some.columns[1:]], names=some.schema.names)
 
-    if records and ids is not None:
+    if records and ids is not None and not packed:
         rows = rows.select("text", "doc_id", "size", "h", "b", "n_seq", "tie").mapInArrow(pack, f"text binary, doc_id {id_type}, size long, h long, b long, n_seq long, tie long")
     if not records:
         rows = rows.drop("text")
@@ -135,10 +158,10 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     rows.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).partitionBy("shard").text(path)
 
 
-def read_from(spark: SparkSession, path: str, slot: int, length: int = 1024, shard_rows: int = 8192, width: int = 2) -> DataFrame:
+def read_from(spark: SparkSession, path: str, slot: int, length: int = 1024, shard_rows: int = 8192, width: int = 2, ordered: bool = True) -> DataFrame:
     """(slot, record) from a slot on, in order, from the files of write_shards(): earlier shards are not opened.
 
-    A task holds a few shards of shard_rows * (width * length + 1) bytes. Shards of an empty table give no row.
+    Not `ordered`, only the records of a shard come in order, without a shuffle. A task holds a few shards of shard_rows * (width * length + 1) bytes. Shards of an empty table give no row.
     """
     stride = width * length + 1
 
@@ -158,4 +181,5 @@ def read_from(spark: SparkSession, path: str, slot: int, length: int = 1024, sha
     if "shard" not in files.columns:
         return spark.createDataFrame([], "slot long, record binary")
     files = files.where(F.col("shard") >= slot // shard_rows)
-    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(cut, "slot long, record binary").orderBy("slot")
+    records = files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(cut, "slot long, record binary")
+    return records.orderBy("slot") if ordered else records
