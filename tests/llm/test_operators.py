@@ -452,6 +452,25 @@ def test_training_order_query_writes_shards_of_token_ids(spark, docs, rows, libr
         assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
 
 
+def test_training_order_of_numbered_ids(docs, rows, library, tmp_path):
+    """The written table's numbers give each sequence a slot of its own; with and without owners, the records are the same."""
+    packed = training_order.packed_ids(docs, PATH, PATTERN, length=32)
+    packed.write.parquet(str(tmp_path / "ids"))
+    packed = docs.sparkSession.read.parquet(str(tmp_path / "ids"))
+    args = dict(length=32, shard_rows=16, ids="ids", end=50256, pad=50257)
+    out = training_order.training_order(packed, **args).collect()
+    assert sorted(r.slot for r in out) == list(range(len(out)))
+    by = defaultdict(dict)
+    for r in out:
+        by[r.doc_id][r.seq_no] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens]
+    for d, t, _ in rows:
+        assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
+    lean = training_order.training_order(packed.repartition(3), owners=False, **args)
+    assert lean.columns == ["slot", "shard", "byte_offset", "n_tokens", "record"] and {(r.slot, bytes(r.record)) for r in lean.collect()} == {(r.slot, bytes(r.record)) for r in out}
+    places = training_order.training_order(packed, records=False, **args).collect()
+    assert {(r.slot, r.doc_id, r.seq_no, r.n_tokens) for r in places} == {(r.slot, r.doc_id, r.seq_no, r.n_tokens) for r in out}
+
+
 def test_token_ids_that_do_not_fit(spark):
     df = spark.createDataFrame([(1, [70000]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert training_order.training_order(df.where("doc_id > 1"), ids="ids").count() == 2

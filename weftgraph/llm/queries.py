@@ -58,8 +58,9 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     The ids after the vocabulary's last one end a document and fill up its last sequence.
     """
     path, end = public_tokenizers.path(VOCABULARY), max(bpe.read_ranks(public_tokenizers.path(VOCABULARY)).values()) + 1
-    ids = materialize(training_order.packed_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids")
-    ordered, places = (training_order.training_order(ids, ids="ids", end=end, pad=end + 1, records=x) for x in (True, False))
+    ids = materialize(training_order.packed_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids", "zstd")
+    ordered = training_order.training_order(ids, ids="ids", end=end, pad=end + 1, owners=False)
+    places = training_order.training_order(ids, ids="ids", end=end, pad=end + 1, records=False)
     shards = fresh_path(spark, "training-shards")
     training_order.write_shards(ordered, shards)
     records = training_order.read_from(spark, shards, 0, ordered=False).select("slot", F.sha2("record", 256).alias("record_sha256"))
