@@ -435,40 +435,73 @@ def test_training_order_of_token_ids(docs, rows, library, width):
         assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
 
 
+def _streams(sequences) -> dict:
+    """part to all ids of its sequences, end to end, without what fills them up."""
+    by = defaultdict(dict)
+    for r in sequences:
+        by[r.part][r.number] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens]
+    return {p: np.concatenate([x[k] for k in range(len(x))]).tolist() for p, x in by.items()}
+
+
+@pytest.mark.parametrize("length", [7, 32, 1024])
+def test_packed_sequences(docs, rows, library, length):
+    """All documents' ids, end to end within a partition; each sequence knows where in which document it begins."""
+    want = {d: [*library.encode_ordinary(t or ""), 50256] for d, t, _ in rows}
+    out = training_order.pack_sequences(docs, PATH, PATTERN, 50256, 50257, length).collect()
+    left = dict(want)
+    for ids in _streams(out).values():
+        at = 0
+        while at < len(ids):
+            d = next(d for d, x in left.items() if ids[at : at + len(x)] == x)
+            at += len(left.pop(d))
+    assert not left
+    for r in out:
+        ids = np.frombuffer(bytes(r.record), "<u2").tolist()
+        assert len(ids) == length and set(ids[r.n_tokens :]) <= {50257}
+        assert ids[: r.n_tokens][: len(want[r.doc_id]) - r.begin] == want[r.doc_id][r.begin :][: r.n_tokens]
+    assert sum(r.n_tokens < length for r in out) <= docs.rdd.getNumPartitions()
+
+
+def test_packed_sequences_of_odd_texts(spark):
+    df = spark.createDataFrame([(*r, "en", 1) for r in ODD], SCHEMA).withColumns({c: F.lit("x") for c in (*CLASHING, "record", "part", "number", "begin")})
+    packed = training_order.pack_sequences(df, PATH, PATTERN, 50256, 50257)
+    assert sum(x.count(50256) for x in _streams(packed.collect()).values()) == len(ODD)
+    none = training_order.pack_sequences(df.limit(0), PATH, PATTERN, 50256, 50257)
+    assert none.count() == 0 and training_order.slot_sequences(none).count() == 0
+    with pytest.raises(Exception, match="don't fit"):
+        training_order.pack_sequences(df, PATH, PATTERN, 1 << 16, 3).count()
+
+
 def test_training_order_query_writes_shards_of_token_ids(spark, docs, rows, library, tmp_path, monkeypatch):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     written = []
     monkeypatch.setattr(training_order, "write_shards", lambda ordered, path, f=training_order.write_shards: (f(ordered, path), written.append(path)))
-    out = queries.op9_training_order(spark, str(tmp_path)).collect()
-    assert sorted(r.slot for r in out) == list(range(len(out))) and len(written) == 1
+    tables = []
+    monkeypatch.setattr(queries, "materialize", lambda df, *a, f=queries.materialize: tables.append(f(df, *a)) or tables[-1])
+    out = {r.slot: r for r in queries.op9_training_order(spark, str(tmp_path)).collect()}
+    assert sorted(out) == list(range(len(out))) and len(written) == 1
     stored = {r.slot: bytes(r.record) for r in training_order.read_from(spark, written[0], 0).collect()}
-    by = defaultdict(dict)
-    for r in out:
-        assert hashlib.sha256(stored[r.slot]).hexdigest() == r.record_sha256 and (r.shard, r.byte_offset) == (0, r.slot * 2049)
-        ids = np.frombuffer(stored[r.slot], "<u2")
-        assert len(ids) == 1024 and (ids[r.n_tokens :] == 50257).all()
-        by[r.doc_id][r.seq_no] = ids[: r.n_tokens]
-    for d, t, _ in rows:
-        assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
-
-
-def test_training_order_of_numbered_ids(docs, rows, library, tmp_path):
-    """The written table's numbers give each sequence a slot of its own; with and without owners, the records are the same."""
-    packed = training_order.packed_ids(docs, PATH, PATTERN, length=32)
-    packed.write.parquet(str(tmp_path / "ids"))
-    packed = docs.sparkSession.read.parquet(str(tmp_path / "ids"))
-    args = dict(length=32, shard_rows=16, ids="ids", end=50256, pad=50257)
-    out = training_order.training_order(packed, **args).collect()
-    assert sorted(r.slot for r in out) == list(range(len(out)))
-    by = defaultdict(dict)
+    assert {k: hashlib.sha256(x).hexdigest() for k, x in stored.items()} == {k: r.record_sha256 for k, r in out.items()}
+    assert all((r.shard, r.byte_offset) == (0, k * 2049) for k, r in out.items())
+    made = tables[0].collect()
+    assert sorted(bytes(r.record) for r in made) == sorted(stored.values()) and len(made) == len(out)
+    assert sorted((r.doc_id, r.begin, r.n_tokens, hashlib.sha256(bytes(r.record)).hexdigest()) for r in made) == sorted((r.doc_id, r.begin, r.n_tokens, r.record_sha256) for r in out.values())
+    total = sum(len(library.encode_ordinary(t or "")) + 1 for _, t, _ in rows)
+    assert sum(r.n_tokens for r in out.values()) == total
+
+
+def test_slots_of_sequences(docs, tmp_path):
+    """Each sequence has one slot, the same with and without records, and the shards come in the order of slots."""
+    training_order.pack_sequences(docs, PATH, PATTERN, 50256, 50257, 16).write.parquet(str(tmp_path / "sequences"))
+    sequences = docs.sparkSession.read.parquet(str(tmp_path / "sequences"))
+    out = training_order.slot_sequences(sequences, length=16, shard_rows=10).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r.slot for r in out) == list(range(len(out))) and all((r.shard, r.byte_offset) == (r.slot // 10, r.slot % 10 * 33) for r in out)
+    by = defaultdict(list)
     for r in out:
-        by[r.doc_id][r.seq_no] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens]
-    for d, t, _ in rows:
-        assert np.concatenate([by[d][k] for k in range(len(by[d]))]).tolist() == [*library.encode_ordinary(t or ""), 50256]
-    lean = training_order.training_order(packed.repartition(3), owners=False, **args)
-    assert lean.columns == ["slot", "shard", "byte_offset", "n_tokens", "record"] and {(r.slot, bytes(r.record)) for r in lean.collect()} == {(r.slot, bytes(r.record)) for r in out}
-    places = training_order.training_order(packed, records=False, **args).collect()
-    assert {(r.slot, r.doc_id, r.seq_no, r.n_tokens) for r in places} == {(r.slot, r.doc_id, r.seq_no, r.n_tokens) for r in out}
+        by[r.p].append(r.slot)
+    assert all(x == sorted(x) for x in by.values()) and sum(len({s // 10 for s in x}) for x in by.values()) == -(-len(out) // 10)
+    places = training_order.slot_sequences(sequences, length=16, shard_rows=10, records=False).collect()
+    assert sorted(r.slot for r in places) == list(range(len(out))) and {(r.shard, r.byte_offset) for r in places} == {(r.shard, r.byte_offset) for r in out}
 
 
 def test_token_ids_that_do_not_fit(spark):
@@ -524,7 +557,7 @@ ODD = [(1, None, None), (2, "", "a"), (3, "same text " * 60, "a"), (3, "same tex
 OPERATORS = {
     "fingerprints": fingerprints.edit_fingerprints, "suffix": suffix_dedup.remove_repeats, "lines": line_dedup.dedup_lines, "near": order_minhash.near_duplicates, "classes": fingerprints.near_classes, "quality": quality.judge_documents,
     "mixing": mixing.mix_sources, "order": training_order.training_order, "bpe": lambda d: bpe.code_digests(d, PATH, PATTERN),
-    "ids": lambda d: bpe.decode_documents(bpe.encode_documents(d, PATH, PATTERN), PATH, PATTERN), "packed": lambda d: training_order.packed_ids(d, PATH, PATTERN),
+    "ids": lambda d: bpe.decode_documents(bpe.encode_documents(d, PATH, PATTERN), PATH, PATTERN),
     "lengths": lambda d: token_histogram.token_lengths(d, PATH, PATTERN),
 }
 CLASHING = ("size", "bucket", "k", "s", "start", "block", "target", "h", "b", "ids", "root", "text_id", "kept", "n", "lost", "spans", "part", "first", "anchor", "line")

@@ -53,18 +53,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The places of all sequences of the vocabulary's token ids, and the digest of each record as read again from the written shards.
+    """The slots of all sequences of the vocabulary's token ids, and the digest of each record as read again from the written shards.
 
-    The ids after the vocabulary's last one end a document and fill up its last sequence.
+    The ids after the vocabulary's last one end a document and fill up a last sequence.
     """
     path, end = public_tokenizers.path(VOCABULARY), max(bpe.read_ranks(public_tokenizers.path(VOCABULARY)).values()) + 1
-    ids = materialize(training_order.packed_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), "training-ids", "zstd")
-    ordered = training_order.training_order(ids, ids="ids", end=end, pad=end + 1, owners=False)
-    places = training_order.training_order(ids, ids="ids", end=end, pad=end + 1, records=False)
+    packed = training_order.pack_sequences(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end, end + 1)
+    sequences = materialize(packed, "training-sequences", "zstd")
     shards = fresh_path(spark, "training-shards")
-    training_order.write_shards(ordered, shards)
+    training_order.write_shards(training_order.slot_sequences(sequences), shards)
     records = training_order.read_from(spark, shards, 0, ordered=False).select("slot", F.sha2("record", 256).alias("record_sha256"))
-    return places.join(records, "slot")
+    return training_order.slot_sequences(sequences, records=False).join(records, "slot")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

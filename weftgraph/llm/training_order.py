@@ -20,26 +20,6 @@ END, PAD = 256, 257
 RANGE_ROWS, RANGES = 4096, 1 << 16
 
 
-def packed_ids(docs: DataFrame, path: str, pattern: str, width: int = 2, length: int = 1024) -> DataFrame:
-    """(doc_id, ids, part, before) of each row: its whole text's token ids as little-endian values of `width` bytes; null and
-    empty texts have none. part: the partition that holds the row; before: the sequences of `length` ids that come before it
-    there. Written as a table, these number all sequences once and for all, without moving a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = library(path, pattern).encode_to_numpy, np.dtype(f"<u{width}")
-        if max(library(path, pattern)._mergeable_ranks.values()) >> 8 * width:
-            raise ValueError(f"the vocabulary's ids don't fit in {width} bytes")
-        part, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for some in slices(batch, "text"):
-                made = [encode(t, disallowed_special=()).astype(kind).tobytes() if t else b"" for t in some.column(1).to_pylist()]
-                upto = before + np.cumsum([0, *(len(x) // (width * length) + 1 for x in made)])
-                before = int(upto[-1])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(made, pa.binary()), pa.array([part] * len(made), pa.int64()), pa.array(upto[:-1])], names=["doc_id", "ids", "part", "before"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, part long, before long")
-
-
 def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """A bijection of 0 to n-1, chosen by the key: a Feistel network over an even number of bits, walked until below n."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -56,37 +36,27 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, ids: str | None = None, width: int = 2, end: int = END, pad: int = PAD, records: bool = True, owners: bool = True) -> DataFrame:
+def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, ids: str | None = None, width: int = 2, end: int = END, pad: int = PAD, records: bool = True) -> DataFrame:
     """One row for each sequence of `length` tokens: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record.
 
-    Each row of docs is its text's UTF-8 bytes, or the token ids in its column `ids` (an array, such as encode_documents()
-    makes, or the bytes of a written table of packed_ids() of the same width and length), and `end` (null: `end` alone),
-    cut into sequences, the last filled with `pad`. Sequences are numbered in the order of a hash of doc_id, or where docs
-    have `part` and `before` in the order of these; the keyed permutation of the numbers gives the slots 0 to N-1, each
-    once. record: the ids as little-endian values of `width` bytes; an id that doesn't fit fails the job. n_tokens:
-    without `pad`. A record stands at byte_offset of its shard of shard_rows records, each followed by one byte. Rows
-    come in partitions of consecutive whole shards, sorted by slot. Rows of equal id and text are interchangeable; an
-    empty table gives no row; other columns are not read. Without `records`, rows come in any order and the texts or ids
-    aren't moved. Without `owners`, doc_id and seq_no are left out, which write_shards() doesn't need.
+    Each row of docs is its text's UTF-8 bytes, or the token ids in its array column `ids` (those of encode_documents(),
+    say), and `end` (null: `end` alone), cut into sequences, the last filled with `pad`. Sequences are numbered in the
+    order of a hash of doc_id; the keyed permutation of the numbers gives the slots 0 to N-1, each once. record: the ids
+    as little-endian values of `width` bytes; an id that doesn't fit fails the job. n_tokens: without `pad`. A record
+    stands at byte_offset of its shard of shard_rows records, each followed by one byte. Rows come in partitions of
+    consecutive whole shards, sorted by slot. Rows of equal id and text are interchangeable; an empty table gives no
+    row; other columns are not read. Without `records`, rows come in any order and the texts or ids aren't moved.
     """
     spark, unit, kind = docs.sparkSession, 1 if ids is None else width, np.dtype(f"<u{width}")
     if max(end, pad) >> 8 * width:
         raise ValueError(f"end {end} and pad {pad} don't fit in {width} bytes")
-    packed = ids is not None and docs.schema[ids].dataType.simpleString() == "binary"
-    if ids is None:
-        data, size = F.coalesce("text", F.lit("")), F.octet_length("text")
-    elif packed:
-        data, size = F.coalesce(F.col(ids), F.lit(b"")), F.octet_length("text") / width
-    else:
-        data, size = F.coalesce(F.col(ids), F.array().cast(docs.schema[ids].dataType)), F.size("text")
-    numbered = packed and {"part", "before"} <= set(docs.columns)
-    h = F.xxhash64(F.lit(3), "doc_id")
-    range_ = F.col("part") if numbered else F.pmod(h, F.lit(max(1, min(RANGES, -(-docs.count() // RANGE_ROWS)))))
-    rows = docs.select("doc_id", data.alias("text"), h.alias("h"), range_.alias("b"), (F.col("before") if numbered else F.lit(None).cast("long")).alias("within"))
+    data = F.coalesce("text", F.lit("")) if ids is None else F.coalesce(F.col(ids), F.array().cast(docs.schema[ids].dataType))
+    size = F.octet_length("text") if ids is None else F.size("text")
+    ranges = max(1, min(RANGES, -(-docs.count() // RANGE_ROWS)))
+    rows = docs.select("doc_id", data.alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(ranges)))
     rows = rows.withColumn("size", size.cast("long")).withColumn("n_seq", F.floor((F.col("size") + length) / length).cast("long")).withColumn("tie", F.xxhash64("text"))
     sums = materialize(rows.groupBy("b").agg(F.sum("n_seq").alias("n")), "training-order")
     n = sums.agg(F.sum("n")).first()[0] or 0
-    # One row for each range, or for each partition that ids were encoded in.
     base = sums.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("b").orderBy("h", "doc_id", "n_seq", "tie").rowsBetween(Window.unboundedPreceding, -1)
     id_type, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(spark)
@@ -103,13 +73,11 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
                 raw, ends = wide.astype(kind).tobytes(), np.cumsum([0, *np.asarray(some.column(0).value_lengths())]) * width
                 yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), *some.columns[1:]], names=some.schema.names)
 
-    if records and ids is not None and not packed:
-        rows = rows.select("text", "doc_id", "size", "h", "b", "n_seq", "tie", "within").mapInArrow(pack, f"text binary, doc_id {id_type}, size long, h long, b long, n_seq long, tie long, within long")
+    if records and ids is not None:
+        rows = rows.select("text", "doc_id", "size", "h", "b", "n_seq", "tie").mapInArrow(pack, f"text binary, doc_id {id_type}, size long, h long, b long, n_seq long, tie long")
     if not records:
         rows = rows.drop("text")
-    if not numbered:
-        rows = rows.withColumn("within", F.coalesce(F.sum("n_seq").over(inside), F.lit(0)))
-    rows = rows.join(base, "b")
+    rows = rows.withColumn("within", F.coalesce(F.sum("n_seq").over(inside), F.lit(0))).join(F.broadcast(base), "b")
     rows = rows.select("doc_id", "text" if records else "size", (F.col("base") + F.col("within")).alias("first"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +92,6 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
                 held = np.minimum(length, sizes[row] - seq * length + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), pa.array(slots % shard_rows * (width * length + 1)), some.column(0).take(pa.array(row)), pa.array(seq), pa.array(held)], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens"])
 
-    whose = ["doc_id", "seq_no"] if owners else []
     known = f"slot long, shard long, byte_offset long, doc_id {id_type}, seq_no long, n_tokens long"
     if not records:
         return rows.mapInArrow(place, known)
@@ -139,32 +106,101 @@ def training_order(docs: DataFrame, key: int = 42, length: int = 1024, shard_row
                 slots = permuted(np.asarray(some.column(2))[row] + seq, n, key)
                 pieces = [texts[r][s * unit * length : (s + 1) * unit * length] for r, s in zip(row.tolist(), seq.tolist(), strict=True)]
                 part = (slots // shard_rows) * parts // shards
-                own = [some.column(0).take(pa.array(row)), pa.array(seq)] if owners else []
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(slots), pa.array(seq == counts[row] - 1), pa.array(pieces, pa.binary()), *own], names=["part", "slot", "last", "piece", *whose])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(slots), some.column(0).take(pa.array(row)), pa.array(seq), pa.array(seq == counts[row] - 1), pa.array(pieces, pa.binary())], names=["part", "slot", "doc_id", "seq_no", "last", "piece"])
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
-                slots, pieces = np.asarray(rows.column(1)), rows.column(3)
+                slots = np.asarray(rows.column(1))
                 filled, sizes = np.full((len(slots), length), pad, kind), np.zeros(len(slots), np.int64)
-                for i, (piece, last) in enumerate(zip(pieces.to_pylist(), rows.column(2).to_pylist(), strict=True)):
+                for i, (piece, last) in enumerate(zip(rows.column(5).to_pylist(), rows.column(4).to_pylist(), strict=True)):
                     own = np.frombuffer(piece, np.uint8 if ids is None else kind)
                     filled[i, : len(own)] = own
                     sizes[i] = len(own) + last
                     if last:
                         filled[i, len(own)] = end
                 records = pa.array([x.tobytes() for x in filled], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(slots // shard_rows), pa.array(slots % shard_rows * (width * length + 1)), *rows.columns[4:], pa.array(sizes), records], names=["slot", "shard", "byte_offset", *whose, "n_tokens", "record"])
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(slots // shard_rows), pa.array(slots % shard_rows * (width * length + 1)), rows.column(2), rows.column(3), pa.array(sizes), records], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record"])
 
-    owner = f"doc_id {id_type}, seq_no long, " if owners else ""
-    pieces = rows.mapInArrow(cut, "part int, slot long, last boolean, piece binary" + (f", doc_id {id_type}, seq_no long" if owners else ""))
+    pieces = rows.mapInArrow(cut, f"part int, slot long, doc_id {id_type}, seq_no long, last boolean, piece binary")
     ordered = pieces.repartitionById(parts, F.col("part")).sortWithinPartitions("slot")
-    return ordered.mapInArrow(record, f"slot long, shard long, byte_offset long, {owner}n_tokens long, record binary")
+    return ordered.mapInArrow(record, f"{known}, record binary")
+
+
+def pack_sequences(docs: DataFrame, path: str, pattern: str, end: int, pad: int, length: int = 1024, width: int = 2) -> DataFrame:
+    """(part, number, doc_id, begin, n_tokens, record): all texts' token ids end to end, cut into sequences of `length` ids.
+
+    A text's ids are followed by `end`; null and empty texts are `end` alone. The rows of a partition `part` are one
+    stream, so only its last sequence is filled up with `pad`; number: the sequence's place in its stream. doc_id, begin:
+    the document whose ids the sequence begins with, and how many of them are in sequences before. record: the ids as
+    little-endian values of `width` bytes; n_tokens: without `pad`. An empty table gives no row; other columns are not
+    read. Written as a table, the sequences are numbered once and for all; a task that runs again numbers them alike.
+    """
+    names = ["part", "number", "doc_id", "begin", "n_tokens", "record"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, kind = library(path, pattern), np.dtype(f"<u{width}")
+        if max(end, pad, *coder._mergeable_ranks.values()) >> 8 * width:
+            raise ValueError(f"ids up to {max(end, pad, *coder._mergeable_ranks.values())} don't fit in {width} bytes")
+        part, done = TaskContext.get().partitionId(), 0
+        # What is left over of the stream: ids, the documents that begin in it or before, and where in it.
+        left, owners, starts = np.zeros(0, kind), None, np.zeros(0, np.int64)
+
+        def cut(stream: np.ndarray, n: int, held: np.ndarray) -> pa.RecordBatch:
+            places = np.arange(n) * length
+            which = np.searchsorted(starts, places, "right") - 1
+            raw, step = stream[: n * length].tobytes(), length * width
+            columns = [pa.array(np.full(n, part)), pa.array(done + np.arange(n)), owners.take(pa.array(which)), pa.array(places - starts[which]), pa.array(held)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([raw[i * step : (i + 1) * step] for i in range(n)], pa.binary())], names=names)
+
+        for batch in batches:
+            for some in slices(batch, "text"):
+                ids = [coder.encode_to_numpy(t, disallowed_special=()).astype(kind) if t else left[:0] for t in some.column(1).to_pylist()]
+                new = len(left) + np.cumsum([0, *(len(x) + 1 for x in ids)])[:-1]
+                stream = np.concatenate([left, *(y for x in ids for y in (x, np.array([end], kind)))])
+                starts = np.concatenate([starts, new])
+                owners = some.column(0) if owners is None else pa.concat_arrays([owners, some.column(0)])
+                if n := len(stream) // length:
+                    yield cut(stream, n, np.full(n, length))
+                    done += n
+                left = stream[n * length :]
+                keep = max(0, int(np.searchsorted(starts, n * length, "right")) - 1)
+                owners, starts = owners.slice(keep), starts[keep:] - n * length
+        if len(left):
+            yield cut(np.concatenate([left, np.full(length - len(left), pad, kind)]), 1, np.array([len(left)]))
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"part long, number long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, begin long, n_tokens long, record binary")
+
+
+def slot_sequences(sequences: DataFrame, key: int = 42, length: int = 1024, shard_rows: int = 8192, width: int = 2, records: bool = True) -> DataFrame:
+    """The rows of a written table of pack_sequences() with their slot, shard and byte_offset, as training_order() gives them.
+
+    With `records`, rows of (slot, shard, byte_offset, record) in partitions of consecutive whole shards, sorted by slot:
+    the records are shuffled once. Without, all but the records, in any order, and nothing is moved.
+    """
+    parts = partitions(sequences.sparkSession)
+    sums = materialize(sequences.groupBy("part").agg(F.count("*").alias("n")), "sequence-parts")
+    n = sums.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-n // shard_rows))
+    # One row for each partition that the texts were read in.
+    base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = ["record"] if records else ["doc_id", "begin", "n_tokens"]
+    rows = sequences.join(base, "part").select((F.col("base") + F.col("number")).alias("slot"), *own)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(permuted(np.asarray(batch.column(0)), n, key)), *batch.columns[1:]], names=batch.schema.names)
+
+    rows = rows.mapInArrow(place, rows.schema)
+    if records:
+        part = (F.expr(f"slot div {shard_rows}") * parts / shards).cast("int")
+        rows = rows.repartitionById(parts, part).sortWithinPartitions("slot")
+    return rows.withColumns({"shard": F.expr(f"slot div {shard_rows}"), "byte_offset": F.col("slot") % shard_rows * (width * length + 1)})
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """Writes the records of training_order()'s rows as binary files, one for each shard, in path/shard=K.
+    """Writes the records of training_order()'s or slot_sequences()'s rows as binary files, one for each shard, in path/shard=K.
 
     A file holds the shard's records in the order of their slots, each followed by a byte 0x0A, and nothing else: slot
     s begins at its byte_offset. Spark's text writer writes the bytes as they are, to any store, and commits whole tasks
