@@ -27,10 +27,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
+    """df, written as Parquet in the shared folder, with the writer's options, and read again."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
