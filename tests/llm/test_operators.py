@@ -477,7 +477,7 @@ def test_training_order_query_writes_shards_of_token_ids(spark, docs, rows, libr
     written = []
     monkeypatch.setattr(training_order, "write_shards", lambda ordered, path, f=training_order.write_shards: (f(ordered, path), written.append(path)))
     tables = []
-    monkeypatch.setattr(queries, "materialize", lambda df, *a, f=queries.materialize: tables.append(f(df, *a)) or tables[-1])
+    monkeypatch.setattr(queries, "materialize", lambda df, *a, f=queries.materialize, **b: tables.append(f(df, *a, **b)) or tables[-1])
     out = {r.slot: r for r in queries.op9_training_order(spark, str(tmp_path)).collect()}
     assert sorted(out) == list(range(len(out))) and len(written) == 1
     stored = {r.slot: bytes(r.record) for r in training_order.read_from(spark, written[0], 0).collect()}

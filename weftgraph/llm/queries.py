@@ -59,7 +59,8 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path, end = public_tokenizers.path(VOCABULARY), max(bpe.read_ranks(public_tokenizers.path(VOCABULARY)).values()) + 1
     packed = training_order.pack_sequences(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end, end + 1)
-    sequences = materialize(packed, "training-sequences", "zstd")
+    # Long pages and a thorough packing: copies and common phrases are told by what stands before.
+    sequences = materialize(packed, "training-sequences", "zstd", **{"parquet.page.size": 8 << 20, "parquet.compression.codec.zstd.level": 9})
     shards = fresh_path(spark, "training-shards")
     training_order.write_shards(training_order.slot_sequences(sequences), shards)
     records = training_order.read_from(spark, shards, 0, ordered=False).select("slot", F.sha2("record", 256).alias("record_sha256"))

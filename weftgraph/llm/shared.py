@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from weftgraph.plans.lineage import written
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage and outlives lost executors."""
-    return written(df, name, compression)
+    return written(df, name, compression, **options)
 
 
 def partitions(spark: SparkSession) -> int:
