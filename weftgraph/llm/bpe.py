@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from weftgraph.llm.shared import slices
 
-#: Entries after which a table of known encodings starts anew; bounds a worker's memory, never the result.
-KEPT = 160_000
-_NONE = 1 << 60
+#: Entries after which a table of known encodings starts anew, about 200 bytes each; bounds a worker's memory, never the result.
+KEPT = 600_000
+_NONE, _UNKNOWN = 1 << 60, object()
 _ENDS = frozenset(".,;:!?")
 #: Letters and numbers, first and last, that Unicode added after version 16. The library, whose tables are of
 #: that version, takes them for signs; `regex` has newer tables.
@@ -107,13 +107,14 @@ class TreeBPE:
                     heapq.heappush(heap, (r, left, len(both)))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def seam(self, a: int, b: int) -> list[int]:
-        """The encoding of two tokens' joint bytes."""
-        known = self.seams.get((a, b))
-        if known is None:
+    def seam(self, a: int, b: int) -> list[int] | None:
+        """The encoding of two tokens' joint bytes; None if it is these two, so that they are compatible."""
+        known = self.seams.get((a, b), _UNKNOWN)
+        if known is _UNKNOWN:
             if len(self.seams) >= self.kept:
                 self.seams.clear()
-            known = self.seams[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b])
+            known = self.merged(self.bytes_of[a] + self.bytes_of[b])
+            known = self.seams[a, b] = None if known == [a, b] else known
         return known
 
     def join(self, x: list[int], y: list[int]) -> list[int]:
@@ -121,19 +122,24 @@ class TreeBPE:
         if not x or not y:
             return x + y
         window = self.seam(x[-1], y[0])
-        if window == [x[-1], y[0]]:
+        if window is None:
             return x + y
         i, j, text = len(x) - 1, 1, self.bytes_of
         while True:
-            left = i == 0 or self.seam(x[i - 1], window[0]) == [x[i - 1], window[0]]
-            right = j == len(y) or self.seam(window[-1], y[j]) == [window[-1], y[j]]
+            left = i == 0 or self.seam(x[i - 1], window[0]) is None
+            right = j == len(y) or self.seam(window[-1], y[j]) is None
             if left and right:
                 return x[:i] + window + y[j:]
             # Doubling the window keeps the work in proportion to the part that changes.
             step = i and max(1, len(x) - i)
             i -= 0 if left else min(i, step)
             j += 0 if right else min(len(y) - j, j)
-            window = self.merged(b"".join(map(text.__getitem__, x[i:] + y[:j])))
+            data = b"".join(map(text.__getitem__, x[i:] + y[:j]))
+            window = self.halves.get(data)
+            if window is None:
+                window = self.merged(data)
+                if len(data) <= 12:
+                    self._keep(data, window)
 
     def tree(self, data: bytes) -> list[int]:
         if len(data) == 1:
@@ -143,11 +149,14 @@ class TreeBPE:
             middle = 1 << (len(data) - 1).bit_length() - 1  # the same blocks for all that begins alike
             known = self.join(self.tree(data[:middle]), self.tree(data[middle:]))
             if len(data) <= 8:
-                if len(self.halves) >= self.kept:
-                    self.halves.clear()
-                self.halves[data] = known
+                self._keep(data, known)
         return known
 
+    def _keep(self, data: bytes, ids: list[int]) -> None:
+        if len(self.halves) >= self.kept:
+            self.halves.clear()
+        self.halves[data] = ids
+
     def piece(self, text: str) -> list[int]:
         """A match of the pattern: its own token if there is one, else by the tree."""
         data = text.encode()
@@ -187,10 +196,9 @@ class TreeBPE:
         if "  " in text:
             return self._said(text)
         first, *rest = text.split(" ")
-        out = [self._said(first)] if first else []
-        for part in rest:
-            out.append(self.known.get(part) or self._word(part))
-        return ",".join(out)
+        met, new = self.known.get, self._word
+        said = ",".join([met(part) or new(part) for part in rest])
+        return ",".join(x for x in (self._said(first) if first else "", said) if x)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -199,14 +207,14 @@ class TreeBPE:
         return b"".join(map(self.said.__getitem__, said.split(","))) if said else b""
 
 
-_coders: dict[tuple[str, str], TreeBPE] = {}
+_coders: dict[tuple[str, str, int], TreeBPE] = {}
 
 
-def coder(path: str, pattern: str) -> TreeBPE:
+def coder(path: str, pattern: str, kept: int = KEPT) -> TreeBPE:
     """One coder for each vocabulary and worker."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = TreeBPE(read_ranks(path), pattern)
-    return _coders[path, pattern]
+    if (path, pattern, kept) not in _coders:
+        _coders[path, pattern, kept] = TreeBPE(read_ranks(path), pattern, kept)
+    return _coders[path, pattern, kept]
 
 
 _libraries: dict[tuple[str, str], tiktoken.Encoding] = {}
@@ -219,9 +227,9 @@ def library(path: str, pattern: str) -> tiktoken.Encoding:
     return _libraries[path, pattern]
 
 
-def _over_texts(path: str, pattern: str, row: Callable) -> Callable:
+def _over_texts(path: str, pattern: str, row: Callable, kept: int = KEPT) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
+        bpe = coder(path, pattern, kept)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column(0)
@@ -252,10 +260,11 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def code_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def code_digests(docs: DataFrame, path: str, pattern: str, kept: int = KEPT) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and then decoded from its ids.
 
     Null and empty texts have 0 tokens and the digests of nothing; rows of equal ids stay apart; other columns are not read.
+    kept: entries of a worker's tables of known encodings; fewer take less memory and more time.
     """
 
     def row(bpe: TreeBPE, text: str):
@@ -264,4 +273,4 @@ def code_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     row.names, row.kinds = ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(_over_texts(path, pattern, row), schema)
+    return docs.select("doc_id", "text").mapInArrow(_over_texts(path, pattern, row, kept), schema)
