@@ -11,6 +11,8 @@ from weftgraph.llm.shared import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Known encodings that a worker keeps: the stages before have filled an executor's memory, so fewer than op10 alone.
+KEPT = 200_000
 
 
 def _text_id() -> Column:
@@ -53,7 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number and digest of the token ids, and the digest of the text decoded from them."""
-    return bpe.code_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.code_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, kept=KEPT)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", lines_once), ("near-dedup", one_of_each), ("mixing", mixed), ("encoding", encoded)]
