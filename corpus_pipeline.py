@@ -12,7 +12,7 @@ from weftgraph.llm.shared import materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Known encodings that a worker keeps: the stages before have filled an executor's memory, so fewer than op10 alone.
-KEPT = 200_000
+KEPT = 100_000
 
 
 def _text_id() -> Column:
