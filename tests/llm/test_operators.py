@@ -367,6 +367,14 @@ def test_mixing(docs, rows):
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix_sources(docs.repartition(3)).collect()))
 
 
+def test_mixing_order_whatever_the_ranges(docs, monkeypatch):
+    """Parts of the shuffled order that are cut into 64 or more ranges give the same as whole ones."""
+    monkeypatch.setattr(mixing, "BUCKETS", 1)
+    whole = sorted(map(tuple, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "RANGE", 1)
+    assert docs.count() > 32 and sorted(map(tuple, mixing.mix_sources(docs).collect())) == whole
+
+
 def test_mixing_reshares_what_small_sources_cannot_give(spark):
     df = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (500, "b"), (300, "c"), (0, "d")])], "doc_id long, text string, source string")
     out = {r.doc_id: r.target for r in mixing.mix_sources(df).collect()}

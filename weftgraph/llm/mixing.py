@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm.shared import materialize
 
 GOLDEN = 0.6180339887498949
-#: Slots whose points are found together, ranges of the shuffled order, least number of cells of the line of shares.
+#: Slots whose points are found together, parts of the shuffled order, least number of cells of the line of shares.
 SLOTS, BUCKETS, CELLS = 1 << 20, 4096, 1024
+#: Rows that a range of a part is to hold at most, on average, were all rows of one source.
+RANGE = 1 << 16
 
 
 def word_count(text: str | Column) -> Column:
@@ -40,21 +42,23 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return by.select("source", "s", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), "cap")).alias("target"))
 
 
-def shuffled_offsets(sized: DataFrame, seed: int = 7) -> DataFrame:
+def shuffled_offsets(sized: DataFrame, n_rows: int, seed: int = 7) -> DataFrame:
     """The rows with `start`: the words of the same source (column s) before the row in shuffled order.
 
-    The order is by 60 bits of an MD5 hash of doc_id, cut into BUCKETS ranges that are summed first, so that no task needs a whole source.
+    The order is by 60 bits of an MD5 hash of doc_id: by the part it names (of BUCKETS), then by the hash. Parts are cut into
+    as many ranges of hashes as `n_rows` rows ask for, which changes no order, and summed first, so that no task needs a whole source.
     """
+    bits = max(0, -(-n_rows // (BUCKETS * RANGE)) - 1).bit_length()
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = sized.withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    sums = rows.groupBy("s", "b").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("s", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = sized.withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("b", F.pmod("h", F.lit(BUCKETS))).withColumn("c", F.shiftright("h", 60 - bits))
+    sums = rows.groupBy("s", "b", "c").agg(F.sum("size").alias("n"))
+    earlier = Window.partitionBy("s").orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("s", "b", "c", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     # Of equal ids, rows follow each other by size and then by what is kept of them.
     ties = ["h", "doc_id", "size", *(["kept"] if "kept" in rows.columns else [])]
-    inside = Window.partitionBy("s", "b").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "b", "c").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(sums, ["s", "b"]).withColumn("start", F.col("base") + F.col("within")).drop("h", "b", "base", "within")
+    return rows.join(sums, ["s", "b", "c"]).withColumn("start", F.col("base") + F.col("within")).drop("h", "b", "c", "base", "within")
 
 
 def schedule(targets: DataFrame, total: int) -> DataFrame:
@@ -85,11 +89,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     that are alike in doc_id, source, size and `keep` get interchangeable results; null ids are ordinary ids. Empty tables give no rows.
     """
     sized = materialize(docs.select(F.struct(*keep).alias("kept"), "doc_id", "source", word_count("text").alias("size")), "mixing-sizes")
-    total = sized.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     targets = materialize(source_targets(sized, weights, most), "mixing-targets")
     known = targets.select(F.col("source").alias("name"), "s", "source_size", "target")
     sized = sized.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    placed = shuffled_offsets(sized.where("size > 0"))
+    placed = shuffled_offsets(sized.where("size > 0"), n_rows)
     counts = schedule(targets, total).groupBy("s").agg(F.count("*").alias("slots"))
     # Slots go round the source's words: each word is taken once a round, those before the end of the last round once more.
     placed = placed.join(counts, "s", "left").withColumn("slots", F.least(F.coalesce("slots", F.lit(0)), F.col("source_size") * most))
