@@ -1,5 +1,6 @@
 """Brute-force versions of the operators, over lists of (doc_id, text)."""
 
+import bisect
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -83,6 +84,25 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(again)
 
 
+def taken(docs, targets, most=3):
+    """doc_id to the words that the mix takes of it: slot after slot, each the next word of its source's shuffled documents."""
+    size, of = {d: len(WORD.findall(t or "")) for d, t, _ in docs}, {}
+    for d, _, s in docs:
+        of.setdefault(s, []).append(d)
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    place = lambda d: int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:15], 16)
+    words = {s: [d for d in sorted(of[s], key=lambda d: (place(d) % 4096, place(d))) for _ in range(size[d])] for s in names}
+    ends, upto = [], 0.0
+    for s in names:
+        ends.append(upto := upto + targets[s])
+    slots = Counter(names[min(bisect.bisect_right(ends, i * 0.6180339887498949 % 1 * upto), len(names) - 1)] for i in range(sum(size.values())))
+    out = dict.fromkeys(size, 0)
+    for s, n in slots.items():
+        for k in range(min(n, most * len(words[s]))):
+            out[words[s][k % len(words[s])]] += 1
+    return out
+
+
 def edited(docs):
     """doc_id to edited text, by the order of descending doc_id."""
     rows = sorted(docs, key=lambda r: -r[0])

@@ -17,6 +17,8 @@ GOLDEN = 0.6180339887498949
 SLOTS, BUCKETS, CELLS = 1 << 20, 4096, 1024
 #: Rows that a range of a part is to hold at most, on average, were all rows of one source.
 RANGE = 1 << 16
+#: Tasks that make the schedule, at most: of more slots than these hold at SLOTS each, a task makes more, one after the other.
+TASKS = 1 << 16
 
 
 def word_count(text: str | Column) -> Column:
@@ -78,7 +80,7 @@ def schedule(targets: DataFrame, total: int) -> DataFrame:
     line = line.select("s", "lo", "hi", F.explode(cells).alias("cell"))
     part = lambda x: x - F.floor(x)
     point = part(F.expr(f"id div {SLOTS}") * F.lit(SLOTS * GOLDEN % 1)) + part(F.expr(f"id % {SLOTS}") * F.lit(GOLDEN))
-    slots = spark.range(0, total, 1, max(1, -(-total // SLOTS))).select(F.col("id").alias("slot"), part(point).alias("u")).withColumn("cell", F.floor(F.col("u") * n_cells))
+    slots = spark.range(0, total, 1, min(TASKS, max(1, -(-total // SLOTS)))).select(F.col("id").alias("slot"), part(point).alias("u")).withColumn("cell", F.floor(F.col("u") * n_cells))
     return slots.join(line, "cell").where("u >= lo and u < hi").select("slot", "s")
 
 
