@@ -227,6 +227,34 @@ def test_monitoring(spark):
     assert sum(r.rows for r in monitoring.partition_stats(spark.range(10)).collect()) == 10
 
 
+def test_shard_and_global_stats(spark):
+    log = spark.createDataFrame([(i, "DELETE" if i % 5 == 0 else "PUT", f"k{i % 7}", None if i % 5 == 0 else "é" * i) for i in range(40)], "seq long, op string, key string, value string")
+    stats = monitoring.shard_stats(log, 3)
+    rows = stats.collect()
+    assert (sum(r.keys for r in rows), sum(r.operations for r in rows), sum(r.deletes for r in rows), max(r.last_seq for r in rows)) == (7, 40, 8, 39)
+    assert sum(r.bytes for r in rows) == sum(2 + (0 if i % 5 == 0 else 2 * i) for i in range(40))
+    whole = monitoring.global_stats(stats).first()
+    assert (whole.shards, whole.puts) == (len(rows), 32) and whole.imbalance == pytest.approx(max(r.operations for r in rows) * len(rows) / 40)
+    none = monitoring.global_stats(monitoring.shard_stats(log.limit(0))).first()
+    assert (none.shards, none.operations) == (0, None)
+
+
+@pytest.mark.parametrize("width", [1, 4, 1 << 16])
+def test_row_cache_as_plain_lru(spark, width):
+    from collections import OrderedDict
+
+    used, held = [(i, f"k{i * i % 23}") for i in range(60)], OrderedDict()
+    value = lambda key: "x" * (int(key[1:]) % 9)
+    log = spark.createDataFrame([(i, "PUT", k, value(k)) for i, k in used], "seq long, op string, key string, value string")
+    for _, k in used:
+        held.pop(k, None)
+        held[k] = len(k) + len(value(k))
+        while sum(held.values()) > 40:
+            held.popitem(last=False)
+    assert {r.key for r in kv.cached(log, 40, width).collect()} == set(held) and 2 < len(held) < 12
+    assert kv.cached(log, 0, width).count() == 0 and kv.cached(log.limit(0), 40, width).count() == 0
+
+
 def test_nodes_last_write_wins(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 0)], "node_id string, node_type string, seq long")
     assert {(r.node_id, r.node_type) for r in relationships.upsert_nodes(df).collect()} == {("a", "y"), ("b", "z")}

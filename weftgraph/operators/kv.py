@@ -32,6 +32,22 @@ def scan(log: DataFrame, start: str, end: str, limit: int | None = None) -> Data
     return found if limit is None else found.limit(limit)
 
 
+def cached(log: DataFrame, capacity: int, width: int = 1 << 16) -> DataFrame:
+    """(key, value, seq) of the live keys that a row cache of `capacity` bytes of keys and values holds after the log:
+    the most recently used ones, up to the first that does not fit; the least recently used are evicted first.
+
+    Bytes are summed by blocks of `width` sequence numbers first, so only the blocks that the cache reaches are put in
+    order, each by itself; one row a block goes through one task.
+    """
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    rows = latest(log).withColumn("block", F.expr(f"seq div {width}")).withColumn("bytes", size)
+    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("block").agg(F.sum("bytes").alias("n")).select("block", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("newer"))
+    inside = Window.partitionBy("block").orderBy(F.desc("seq"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    reached = rows.join(sums.where(F.col("newer") <= capacity), "block")
+    return reached.withColumn("upto", F.col("newer") + F.sum("bytes").over(inside)).where(F.col("upto") <= capacity).select("key", "value", "seq")
+
+
 def put(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with the rows (seq, key, value) put."""
     return log.unionByName(rows.select("seq", F.lit("PUT").alias("op"), "key", "value"))

@@ -413,6 +413,30 @@ def ring_assign(spark, sf_dir):
     return src.table(spark, sf_dir, "customer").select("c_custkey", routing.ring_shard_of(src.id_of("customer", "c_custkey"), 16).alias("shard"))
 
 
+@query(f"""WITH {_LOG}, l AS ({_LATEST.format('lg')}), c AS (SELECT *, sum(octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)) OVER (ORDER BY seq DESC) AS upto FROM l)
+SELECT key, value, seq FROM c WHERE upto <= 65536""")
+def kv_row_cache(spark, sf_dir):
+    return kv.cached(src.kv_log(spark, sf_dir), 65536)
+
+
+_SHARDS = f"""{_LOG}, ke AS (SELECT key, count(*) AS operations, count(*) FILTER (op = 'PUT') AS puts, count(*) FILTER (op = 'DELETE') AS deletes,
+  sum(octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)) AS bytes, max(seq) AS last_seq FROM lg GROUP BY key),
+pl AS (SELECT *, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, [ord(c)::UHUGEINT FOR c IN string_split(key, '')]), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 16)::INT AS shard FROM ke),
+sh AS (SELECT shard, count(*) AS keys, sum(operations)::BIGINT AS operations, sum(puts)::BIGINT AS puts, sum(deletes)::BIGINT AS deletes, sum(bytes)::BIGINT AS bytes, max(last_seq) AS last_seq FROM pl GROUP BY shard)"""
+
+
+@query(f"WITH {_SHARDS} SELECT * FROM sh")
+def shard_stats(spark, sf_dir):
+    return monitoring.shard_stats(src.kv_log(spark, sf_dir), 16)
+
+
+@query(f"""WITH {_SHARDS} SELECT count(*) AS shards, sum(keys)::BIGINT AS keys, sum(operations)::BIGINT AS operations, sum(puts)::BIGINT AS puts, sum(deletes)::BIGINT AS deletes, sum(bytes)::BIGINT AS bytes,
+  max(last_seq) AS last_seq, round(max(operations) / avg(operations), 6) AS imbalance FROM sh""")
+def global_stats(spark, sf_dir):
+    stats = monitoring.global_stats(monitoring.shard_stats(src.kv_log(spark, sf_dir), 16))
+    return stats.withColumn("imbalance", F.round("imbalance", 6))
+
+
 @query("SELECT user_id, count(*) AS queue_depth, CASE WHEN count(*) > 10000 OR max(value) > 100 OR avg(value) / 100 > 0.8 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM events GROUP BY user_id")
 def health(spark, sf_dir):
     metrics = src.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("queue_depth"), F.max("value").alias("backlog"), (F.avg("value") / 100).alias("memory_usage"))
