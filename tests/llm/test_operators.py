@@ -108,6 +108,19 @@ def test_classes_within_large_buckets(spark, monkeypatch, ordered, small, block)
     assert {r.doc_id: r.class_id for r in out} == want and 20 < len(set(want.values())) < len(texts) - 10
 
 
+@pytest.mark.parametrize("small, block", [(16, 6 << 20), (16, 3000), (1, 3000), (1, 1)])
+def test_classes_of_texts_that_share_one_bucket_only(spark, monkeypatch, small, block):
+    """However large a bucket is, two alike texts in it are linked with no second bucket that both are in."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    monkeypatch.setattr(linking, "BLOCK", block)
+    docs = _frames()
+    texts = spark.createDataFrame([(b"%04d" % d, len(t), [7]) for d, t in docs], "id binary, size long, buckets array<long>")
+    bodies = spark.createDataFrame([(b"%04d" % d, t) for d, t in docs], "id binary, text string")
+    like = linking.Likeness(order_minhash._prepared, order_minhash.alignment, order_minhash.LEAST)
+    roots = {int(r.id): int(r.root) for r in linking.linked_classes(texts, bodies, like, "one").collect()}
+    assert {d: roots.get(d, d) for d, _ in docs} == brute.classes(docs)
+
+
 def test_suffix_dedup(docs, rows):
     got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
     assert got == brute.repeats([(d, t) for d, t, _ in rows]) and sum(r[2] for r in got) > 3000

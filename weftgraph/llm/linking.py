@@ -2,8 +2,9 @@
 
 First every text is compared with the first one of each of its buckets: work in proportion to the texts, however large
 a group of copies is, and most classes are whole after it. Then only buckets that still hold texts of different classes
-matter: in small ones, the pairs across classes are compared; large ones are compared in blocks, exactly, after those of
-too much text for one task were cut by a second bucket that texts share. Every link is verified on the texts.
+matter: in small ones, the pairs across classes are compared; large ones are compared in blocks, exactly. Those of too
+much text for one task are first cut by the rarest hashes of their texts, of which alike texts always share one (a prefix
+filter), so that no link is lost. Every link is verified on the texts.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import connected_components, materialize, slices
+from weftgraph.llm.textvec import mix
 
 #: Texts compared with one first text by a task, texts of a small bucket, and text bytes compared in one block.
 BATCH, SMALL, BLOCK = 256, 16, 6 << 20
+#: Slots in which hashes are counted, to tell the frequent ones.
+SLOTS = 1 << 16
 
 
 class Likeness(NamedTuple):
@@ -126,6 +130,40 @@ def verified_groups(groups: DataFrame, bodies: DataFrame, like: Likeness) -> Dat
     return placed.mapInArrow(compare, "a binary, b binary")
 
 
+def rarest_hashes(texts: DataFrame, like: Likeness) -> DataFrame:
+    """(id, size, bucket) of texts (id, size, text): two alike texts share a bucket, whatever else they hold.
+
+    Alike texts share at least `least` of the hashes of each, so in any order of all hashes they share one of the first
+    (1 - least) of each and one more. The order is by how often a hash's slot is met, so frequent hashes hardly count.
+    """
+
+    def slots(hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes) % np.uint64(SLOTS)).astype(np.int64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                met += np.bincount(slots(np.concatenate(like.prepare(piece.column(0)))), minlength=SLOTS)
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(met[at])], names=["slot", "n"])
+
+    counts = texts.select("text").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                made = []
+                for x in like.prepare(piece.column(2)):
+                    most = len(x) - int(np.ceil(like.least * len(x) - 1e-9)) + 1
+                    made.append(x[np.lexsort((x, often[slots(x)]))[:most]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(made, pa.list_(pa.int64()))], names=["id", "size", "buckets"])
+
+    return texts.select("id", "size", "text").mapInArrow(rarest, "id binary, size long, buckets array<long>").select("id", "size", F.explode("buckets").alias("bucket"))
+
+
 def _with_links(roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
     """roots (id, root) of the classes with the links (a, b) drawn, too; ids without a link may be missing."""
     if roots is None:
@@ -142,8 +180,8 @@ def linked_classes(texts: DataFrame, bodies: DataFrame, like: Likeness, name: st
     """(id, root) of the texts that are alike to another one: classes are the components of verified links, root their least id.
 
     texts (id, size, buckets): different texts with their bytes and the buckets that alike texts are to share; bodies
-    (id, text): their texts, equal ones once. Two texts of a bucket are compared unless a class holds both already; only
-    in a bucket of several classes and more than BLOCK bytes, two texts must share a second bucket as well.
+    (id, text): their texts, equal ones once. Two texts of a bucket are compared unless a class holds both already, or
+    unless they can't be alike as the bucket is of more than BLOCK bytes and they share none of their rarest hashes.
     """
     members = texts.select("id", "size", F.explode(F.array_distinct("buckets")).alias("bucket"))
     firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
@@ -162,27 +200,41 @@ def linked_classes(texts: DataFrame, bodies: DataFrame, like: Likeness, name: st
         several = of.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
         return materialize(of.join(materialize(several, f"{name}-{at}-several"), "bucket"), f"{name}-{at}")
 
+    def draw(links: DataFrame, at: str) -> None:
+        nonlocal roots
+        if not links.isEmpty():
+            roots = _with_links(roots, links, f"{name}-{at}-classes")
+
+    def across(rows: DataFrame) -> DataFrame:
+        """Links between the classes of a bucket."""
+        left, right = (rows.select("bucket", F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+        pairs = left.join(right, "bucket").where("a < b and a_root <> b_root").select("a", "b").distinct()
+        return materialize(verified_pairs(materialize(pairs, f"{name}-pairs"), bodies, like, f"{name}-pairs"), f"{name}-links")
+
+    def in_blocks(groups: DataFrame) -> DataFrame:
+        groups = groups.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return materialize(verified_groups(materialize(groups, f"{name}-groups"), bodies, like), f"{name}-links")
+
     small = mixed(shared.where(F.col("n") <= SMALL), "small")
     if not small.isEmpty():
         # Both were compared with the first text of the bucket.
-        left, right = (small.where("id <> first").select("bucket", F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
-        pairs = left.join(right, "bucket").where("a < b and a_root <> b_root").select("a", "b").distinct()
-        links = materialize(verified_pairs(materialize(pairs, f"{name}-pairs"), bodies, like, f"{name}-pairs"), f"{name}-links")
-        if not links.isEmpty():
-            roots = _with_links(roots, links, f"{name}-small-classes")
+        draw(across(small.where("id <> first")), "small")
 
     large = mixed(shared.where(F.col("n") > SMALL), "large")
-    if not large.isEmpty():
-        again = texts.select("id", F.explode(F.array_distinct("buckets")).alias("second"))
-        cut = large.where(F.col("bytes") > BLOCK).join(again, "id").where("second <> bucket")
-        cut = cut.select("id", "size", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"))
-        cut = mixed(materialize(cut.distinct(), f"{name}-cut-all"), "cut")
-        rest = large.where(F.col("bytes") <= BLOCK).select("id", "size", "bucket").unionByName(cut.select("id", "size", "bucket"))
+    rest = large.where(F.col("bytes") <= BLOCK).select("id", "size", "bucket", "first")
+    if not rest.isEmpty():
         # Buckets of much the same texts are one group, so that these are compared once.
-        heads = rest.groupBy("bucket").agg(F.min("id").alias("b"))
-        found = connected_components(rest.join(heads, "bucket").select(F.col("id").alias("a"), "b"), f"{name}-groups")
-        groups = found.withColumnRenamed("root", "group").join(rest.select("id", "size").distinct(), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        links = materialize(verified_groups(materialize(groups, f"{name}-groups"), bodies, like), f"{name}-links")
-        if not links.isEmpty():
-            roots = _with_links(roots, links, f"{name}-large-classes")
+        found = connected_components(rest.select(F.col("id").alias("a"), F.col("first").alias("b")), f"{name}-groups")
+        draw(in_blocks(found.withColumnRenamed("root", "group").join(rest.select("id", "size").distinct(), "id")), "large")
+
+    wide = large.where(F.col("bytes") > BLOCK).select("id", "size").distinct()
+    if not wide.isEmpty():
+        wide = materialize(bodies.join(wide, "id"), f"{name}-wide")
+        members = materialize(rarest_hashes(wide, like), f"{name}-rarest")
+        firsts = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        met = mixed(members.join(materialize(firsts, f"{name}-rarest-buckets"), "bucket"), "rarest")
+        draw(across(met.where(F.col("n") <= SMALL)), "rarest-small")
+        met = met.where(F.col("n") > SMALL)
+        if not met.isEmpty():
+            draw(in_blocks(met.select(F.col("first").alias("group"), "id", "size").distinct()), "rarest-large")
     return roots
