@@ -87,6 +87,24 @@ def test_relationship_types(spark):
     assert (got["b:1", "a_1"], got["b:1", "c:1"], got["b:1", "d:1"], got["f:1", "b:1"], got["b:1", "f:1"]) == ("VERSION_MUTATION", "DEPENDS_ON", "CHILD_OF", "CAUSES", "INTERACTS_WITH")
 
 
+@pytest.mark.parametrize("gap", [0, 7])
+@pytest.mark.parametrize("direction", ["past", "both"])
+def test_near_events_are_dealt_to_few_bins(spark, gap, direction):
+    """All pairs at the edges of bins, before 1970, too; both sides of the join share one exchange of the events."""
+    df = events(spark, *((f"e{t}_{k}", f"u{k}", "t", t, "-") for t in range(-45, 45) for k in range(2)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = inference.near_in_time(df, gap, direction).select("e.event_id", F.col("o.event_id").alias("other"))
+        got = sorted((r.event_id, r.other) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lags = range(-gap if direction == "both" else 0, gap + 1)
+    assert got == sorted((f"e{t}_{k}", f"e{t - lag}_{1 - k}") for t in range(-45, 45) for k in range(2) for lag in lags if -45 <= t - lag < 45)
+    assert "ReusedExchange" in plan
+
+
 def test_lookup_and_expiry(spark):
     df = rels(spark, *(rel("e", f"r{i}", "INTERACTS_WITH", 0.8 + 0.04 * i, 1_234_567_890 + 1000 * i) for i in range(5)), rel("e", "old", expires=NOW), rel("e", "new", expires=NOW + 1))
     assert [r.related_id for r in relationships.of_entity(df, "e").collect()][:2] == ["r4", "r3"]
