@@ -377,6 +377,17 @@ def test_streams_take_events_in_any_order(spark, tmp_path):
     assert ingest.dropped_rows(q) > 0 and ingest.progress(q).agg(F.sum("dropped")).first()[0] == ingest.dropped_rows(q)
 
 
+def test_stream_keeps_only_what_pairs_need(spark, tmp_path):
+    df = events(spark, *((f"e{i}", f"u{i % 3}", "needs", 1000 * i, "-", i % 2) for i in range(40)))
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = ingest.read_events(spark, str(tmp_path / "in"), files_per_trigger=1)
+    ingest.infer_near(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    pairs = lambda d: sorted((x.event_id, x.related_id, x.rel_type, x.created_at) for x in d.collect())
+    assert pairs(spark.read.parquet(str(tmp_path / "out/rels"))) == pairs(inference.temporal(df))
+    seen = spark.read.parquet(str(tmp_path / "out/seen"))
+    assert seen.count() == 40 and set(seen.columns) == {"event_id", "entity_id", "event_type", "ts_ms", "payload", "features", "batch"}
+
+
 def test_acks_of_ingest(spark, tmp_path):
     df = events(spark, ("e1", "a", "t", 1, "-", 1), ("e2", None, "t", 1, "-", 1), ("e3", "b", "t", -1, "-"))
     df.write.parquet(str(tmp_path / "in"))
