@@ -234,6 +234,17 @@ def test_line_dedup_of_long_passages_of_two_lines(spark):
     assert out[1].text == "three 0\n\nfour 0" and out[15].text == docs[15][1]
 
 
+def test_line_dedup_query_says_what_its_sql_says_of_two_lines(spark, tmp_path):
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    texts = [f"{k}\n{say('x', 23)}\n{say('y', 46)}\n{k} end\n{say('z', 50)}\n{k} last" for k in range(3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(f"SELECT doc_id, text, n_lines, n_deleted FROM ({queries.ORACLE_SQL['op4_line_dedup']})").fetchall()
+    got = queries.op4_line_dedup(spark, str(tmp_path)).select("doc_id", "text", "n_lines", "n_deleted").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and [n for *_, n in sorted(want)] == [0, 1, 1]
+
+
 def test_winnowing_selects_few_lines_and_the_same_of_equal_runs():
     """About 2 of 4 lines for runs of 3, as winnowing promises; wherever a run stands, it selects the same line of its own."""
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
