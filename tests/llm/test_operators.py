@@ -668,6 +668,18 @@ def test_pipeline_stages(spark, docs, rows):
             assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in before.collect())
 
 
+def test_pipeline_near_dedup_of_a_large_bucket(spark, monkeypatch):
+    """Over 16 texts and the bytes of a block in one bucket, and no second one that two of them share: of the first 21, one is alike to all others, which are not alike; of the last 20, none is."""
+    monkeypatch.setattr(linking, "BLOCK", 300)
+    base = [" ".join(f"{c}{k}" for c in "abcdefgh") for k in range(2)]
+    texts = [base[0], *(f"{b} more{i}" for b in base for i in range(20))]
+    assert min(texts[:21], key=lambda t: hashlib.sha256(t.encode()).digest()) != texts[0]
+    want = brute.classes(list(enumerate(texts)))
+    assert sorted(set(want.values())) == [0, *range(21, 41)]
+    df = spark.createDataFrame([(d, t, "s", "en", len(t)) for d, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").select("doc_id").collect()) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_pipeline_stages_on_odd_input(spark, k):
     df = spark.createDataFrame([(*r, "en", 1) for r in ODD], SCHEMA).withColumns({c: F.lit("x") for c in CLASHING})
